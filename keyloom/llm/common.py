@@ -57,9 +57,13 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: The same white space as a regular expression class.
+SPACE_CLASS = r"[\x20\x09-\x0D]"
+
+
 def words_of(text: Column) -> Column:
     """The maximal runs of characters other than ASCII white space, in order."""
-    return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * 5), " ", -1), "")
+    return F.array_remove(F.split(text, SPACE_CLASS + "+", -1), "")
 
 
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
