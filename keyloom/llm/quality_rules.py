@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import SPACE_CLASS, materialise, text_of, words_of
+from keyloom.llm.common import SPACE_CLASS, SPACES, materialise, text_of
 
 #: Base rule: fewer words than this, or more than this share of words in repeated 3-word windows, fails.
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-#: Verdict: the largest distances (square roots of divergences in bits) and the fewest words at which each is judged.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.62
-CLASS_MIN_WORDS, WORD_MIN_WORDS = 50, 100
+#: Verdict: a distance (square root of the divergence in bits) may reach BASE + NOISE / sqrt(n_words), as the shares of
+#: a short text stray more; a text of fewer words than MIN_JUDGED is not judged by its histograms.
+CLASS_BASE, CLASS_NOISE, WORD_BASE, WORD_NOISE, MIN_JUDGED = 0.12, 1.2, 0.06, 2.2, 50
 #: Words whose counts make the common-word histogram (the rest of a text's words are one more bin). Fixed values:
 #: frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -29,8 +29,8 @@ PACKED_POSITIONS = 1 << 16
 CLASSES = (("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("space", SPACE_CLASS + "+"), ("digit", "[0-9]+"), ("stop", r"[.,;:?!'\"()-]+"), ("symbol", r"[#*$%&|<>]+"))
 
 
-def repeated_words(words: str, n: str) -> Column:
-    """How many words lie in 3-word windows found twice or more; ``words`` and ``n`` are column names.
+def repeated_words(words: str, n: str) -> str:
+    """SQL: how many words lie in 3-word windows found twice or more; ``words`` and ``n`` are names of lambda variables.
 
     Windows are hashed, and sorted with their positions; equal neighbours mark positions, three words each. Up to
     PACKED_POSITIONS words the hash (48 bits) and the position share a long; longer texts sort pairs of 64-bit hash
@@ -47,7 +47,19 @@ def repeated_words(words: str, n: str) -> Column:
 
     short = covered(packed, "shiftright({0}, 16) = shiftright({1}, 16)", "cast(x & 65535 as int)")
     long = covered(pairs, "{0}.h = {1}.h", "x.i")
-    return F.expr(f"CASE WHEN {n} < 6 AND {n} < 4 THEN cast(0 as bigint) WHEN {n} <= {PACKED_POSITIONS} THEN {short} ELSE {long} END")
+    return f"CASE WHEN {n} < 4 THEN cast(0 as bigint) WHEN {n} <= {PACKED_POSITIONS} THEN {short} ELSE {long} END"
+
+
+def _word_counts() -> str:
+    """SQL: an array of one struct with all counts of the words of ``text``.
+
+    Lambda variables hold the words and the common words among them, so neither is ever computed twice.
+    """
+    words = f"array_remove(split(text, '{SPACE_CLASS}+', -1), '')".replace("\\", "\\\\")
+    among = ", ".join(f"'{w}'" for w in COMMON_WORDS)
+    each = ", ".join(f"cast(size(k) - size(array_remove(k, '{w}')) as double)" for w in COMMON_WORDS)
+    commons = f"transform(array(filter(w, x -> x IN ({among}))), k -> array({each}, cast(size(w) - size(k) as double)))[0]"
+    return f"transform(array({words}), w -> named_struct('n_words', cast(size(w) as bigint), 'n_repeat_words', {repeated_words('w', 'size(w)')}, 'commons', {commons}))"
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -63,19 +75,18 @@ def measures(docs: DataFrame) -> DataFrame:
         left = f"left{k}"
         steps.append((F.col(f"n{k}") - F.col(f"n{k + 1}")).cast("double").alias(name))
     n_of = {name: F.col(f"n{k}") - F.col(f"n{k + 1}") for k, (name, _) in enumerate(CLASSES)}
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
-    counts = counts.withColumn("lines", F.when(F.instr("text", "\n") > 0, lines)).withColumn("words", words_of(F.col("text")))
-    known = F.filter(F.transform("words", F.lower), lambda x: x.isin(COMMON_WORDS))
-    counts = counts.withColumn("n_words", F.size("words").cast("long")).withColumn("known", known)
-    commons = F.array(*[(F.size("known") - F.size(F.array_remove("known", w))).cast("double") for w in COMMON_WORDS], (F.col("n_words") - F.size("known")).cast("double"))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+    repeated = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    counts = counts.withColumn("n_dup_lines", F.when(F.instr("text", "\n") > 0, F.get(repeated, F.lit(0))).otherwise(0))
+    counts = counts.withColumn("of_words", F.expr(_word_counts())).withColumn("of_words", F.get("of_words", F.lit(0)))
     return counts.select(
-        "doc_id", "lang", "n_words",
+        "doc_id", "lang", F.col("of_words.n_words").alias("n_words"),
         (F.col("n0") - n_of["space"]).cast("long").alias("word_chars"),
         n_of["symbol"].cast("long").alias("n_symbols"),
-        F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
-        repeated_words("words", "n_words").alias("n_repeat_words"),
+        F.col("n_dup_lines").cast("long").alias("n_dup_lines"),
+        F.col("of_words.n_repeat_words").alias("n_repeat_words"),
         F.array(*steps, F.col(f"n{len(CLASSES)}").cast("double")).alias("classes"),
-        commons.alias("commons"),
+        F.col("of_words.commons").alias("commons"),
     )
 
 
@@ -118,8 +129,9 @@ def judge(docs: DataFrame) -> DataFrame:
     joined = measured.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     far = joined.withColumn("class_distance", js_distance("classes", "class_ref")).withColumn("word_distance", js_distance("commons", "common_ref"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    near_class = (F.col("n_words") < CLASS_MIN_WORDS) | (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE)
-    near_words = (F.col("n_words") < WORD_MIN_WORDS) | (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
+    noise, few = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double")), F.col("n_words") < MIN_JUDGED
+    near_class = few | (F.coalesce("class_distance", F.lit(0.0)) <= CLASS_BASE + CLASS_NOISE / noise)
+    near_words = few | (F.coalesce("word_distance", F.lit(0.0)) <= WORD_BASE + WORD_NOISE / noise)
     return far.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & near_class & near_words).alias("kept"), "class_distance", "word_distance",
