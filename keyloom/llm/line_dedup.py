@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from keyloom.llm.common import ASCII_LOWER, ASCII_UPPER, SPACES, byte_slices, materialise, mix64, small_batches, text_of
 
@@ -175,8 +176,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text")]
     whole = docs.select(*[F.col(f"`{c}`") for c in own], text_of().alias("text"))
     joined = whole.join(lost.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
-    fields = [f for f in whole.schema.fields]
-    schema = whole.schema.add("n_lines", "long").add("n_dropped", "long")
+    fields = whole.schema.fields
+    schema = StructType([*fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:

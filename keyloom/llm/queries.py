@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontam, line_dedup, mixing, near_dup, quality_rules, substring, token_count
+from keyloom.llm import decontam, line_dedup, mixing, near_dup, quality_mil, quality_rules, substring, token_count
 from keyloom.llm.common import documents
 
 TOKEN_LIMIT = 2048
@@ -43,5 +43,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_line_dedup, op6_quality_rules, op8_decontamination, op9_near_dedup, op10_substring_dedup)}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_line_dedup, op6_quality_rules, op8_decontamination, op9_near_dedup, op10_substring_dedup, op4_quality_classifier)}
 ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontam.ORACLE}
