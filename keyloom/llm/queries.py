@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontam, line_dedup, mixing, near_dup, quality_mil, quality_rules, substring, token_count, toxicity
+from keyloom.llm import decontam, html_main, line_dedup, mixing, near_dup, quality_mil, quality_rules, substring, token_count, toxicity
 from keyloom.llm.common import documents
 
 TOKEN_LIMIT = 2048
@@ -51,5 +51,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_line_dedup, op6_quality_rules, op8_decontamination, op9_near_dedup, op10_substring_dedup, op4_quality_classifier, op5_toxicity)}
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_line_dedup, op6_quality_rules, op8_decontamination, op9_near_dedup, op10_substring_dedup, op4_quality_classifier, op5_toxicity, op7_html_extraction)}
 ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontam.ORACLE}
