@@ -1,0 +1 @@
+"""keyloom: keyed, semi-structured data as typed Spark tables, and operators from DataFrames to DataFrames."""
