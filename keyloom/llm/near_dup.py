@@ -19,7 +19,7 @@ COORDINATES, BANDS, ROWS = 256, 36, 7
 #: Pairs whose signatures agree in fewer coordinates than this share are not verified: at a similarity of 0.8 that is
 #: 4.8 standard deviations away.
 AGREE = 0.68
-#: Center elections before what is left is compared pair by pair.
+#: Center elections before what is left is compared within its buckets.
 ELECTIONS = 2
 _DART, _PLACE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -149,9 +149,12 @@ def _likely(a: str, b: str, similar: float) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Those of the distinct pairs (a, b) whose shingle sets have the Jaccard similarity asked for."""
     side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"set_{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter(shared >= similar * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_linked("set_a", "set_b", similar)).select("a", "b")
+
+
+def _linked(a: str, b: str, similar: float) -> Column:
+    """Whether the Jaccard similarity of two sets is at least ``similar``; their intersection is computed once."""
+    return F.size(F.array_intersect(a, b)) * (1 + similar) >= (F.size(a) + F.size(b)) * similar - 1e-9
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -161,8 +164,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     the sets of five-word shingles, or the same text. Exact copies are folded first, by a digest with map-side
     aggregation. Among different texts every band bucket elects a center by hash, and its members are compared with
     the center whose signature agrees best; this is done ELECTIONS times, each time only for members that are not yet in
-    their center's class, and what then still shares a bucket without sharing a class is compared pair by pair, as far
-    as the signatures agree.
+    their center's class. What then still shares a bucket without sharing a class is compared within one join, as far
+    as sizes and signatures allow the similarity; only links leave that join.
 
     Empty or null texts are copies of each other; texts under five words are one shingle. A repeated doc_id is one
     document of its first text in byte order; a null doc_id is a class of its own with a null class_id.
@@ -195,10 +198,14 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             near = met.join(side("x"), "x").join(side("y"), "y").filter(_likely("x", "y", similar)).select("x", "y", _agreement("sig_x", "sig_y").alias("agree"))
             met = near.groupBy("y").agg(F.max_by("x", F.struct("agree", "x")).alias("x"))
         else:
-            left = placed.select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx")).join(side("x"), "x")
-            right = placed.select("bucket", F.col("doc_id").alias("y"), F.col("component").alias("cy")).join(side("y"), "y")
-            right = right.withColumnRenamed("bucket", "bucket_y")
-            met = left.join(right, (F.col("bucket") == F.col("bucket_y")) & (F.col("cx") < F.col("cy")) & _likely("x", "y", similar)).select("x", "y")
+            whole = lambda n: side(n).join(sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"set_{n}")), n)
+            left = placed.select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx")).join(whole("x"), "x")
+            right = placed.select(F.col("bucket").alias("bucket_y"), F.col("doc_id").alias("y"), F.col("component").alias("cy")).join(whole("y"), "y")
+            rest = (F.col("cx") < F.col("cy")) & _likely("x", "y", similar) & _linked("set_x", "set_y", similar)
+            met = left.join(right, (F.col("bucket") == F.col("bucket_y")) & rest).select(F.col("x").alias("a"), F.col("y").alias("b"))
+            links = links.union(materialise(met.distinct()))
+            known = components(links)
+            break
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
