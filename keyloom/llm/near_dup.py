@@ -168,7 +168,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     as sizes and signatures allow the similarity; only links leave that join.
 
     Empty or null texts are copies of each other; texts under five words are one shingle. A repeated doc_id is one
-    document of its first text in byte order; a null doc_id is a class of its own with a null class_id.
+    document, of the text with the smallest digest; a null doc_id is one document too, in no class (class_id null).
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     keyed = read.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
@@ -215,7 +215,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         links = found if links is None else links.union(found)
         known = components(links)
     whole = members.join(known, members["first"] == known["node"], "left")
-    return whole.select("doc_id", F.coalesce("component", "first").alias("class_id"), F.coalesce("n_copies", "rows").alias("n_copies"))
+    of = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first"))
+    return whole.select("doc_id", of.alias("class_id"), F.coalesce("n_copies", "rows").alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
