@@ -6,6 +6,7 @@
    different segments may hide shorter repeats, so one copy of each of its segments is fetched as text.
 3. These are dealt to shards by anchor. A shard confirms the windows that recur among its segments, compiles Aho-Corasick
    automata of the confirmed passages, a bounded number of words each, and streams the segments through them.
+   An anchor with very many different segments (a common phrase) is not gathered: its windows are counted by digest.
 4. What was located goes back to all segments by hash, and from there to the documents, whose words are removed.
 """
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import byte_slices, materialise, mix64, small_batches, span_hashes, text_of, utf8_buffer, word_spans
 
 WINDOW, ANCHOR = 35, 8
-#: Words of all patterns of one automaton.
-AUTOMATON_WORDS = 400_000
+#: Words of all patterns of one automaton, and different segments of one anchor that are searched in one task.
+AUTOMATON_WORDS, ANCHOR_SEGMENTS = 400_000, 2000
 _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -84,7 +85,7 @@ def segments(docs: DataFrame) -> DataFrame:
 
 
 def segment_words(located: DataFrame) -> DataFrame:
-    """anchor, segment, n, piece (the segment's words joined by spaces) of rows with text and wanted segments."""
+    """anchor, segment, n, kinds, piece (the segment's words joined by spaces) of rows with text and wanted segments."""
     small_batches(located.sparkSession, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +94,12 @@ def segment_words(located: DataFrame) -> DataFrame:
                 out: list[tuple] = []
                 for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                     words = _SPLIT.findall(text)
-                    out += [(w["anchor"], w["segment"], w["n"], " ".join(words[w["start"] : w["start"] + w["words"]])) for w in wanted]
-                cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["anchor", "segment", "n", "piece"])
+                    out += [(w["anchor"], w["segment"], w["n"], w["kinds"], " ".join(words[w["start"] : w["start"] + w["words"]])) for w in wanted]
+                cols = list(zip(*out, strict=True)) if out else [[]] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["anchor", "segment", "n", "kinds", "piece"])
 
-    return located.mapInArrow(run, "anchor long, segment long, n long, piece string")
+    return located.mapInArrow(run, "anchor long, segment long, n long, kinds long, piece string")
 
 
 def confirm(pieces: list[list[int]], counts: list[int], window: int = WINDOW) -> list[tuple[int, ...]]:
@@ -166,6 +168,16 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(pd.concat(held, ignore_index=True))
 
 
+def _common_anchors(pieces: DataFrame) -> DataFrame:
+    """anchor, segment, spans for anchors with too many segments for one task: windows are counted by a 128-bit digest."""
+    words = F.split("piece", " ")
+    each = F.transform(F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.md5(F.array_join(F.slice("w", i, F.lit(WINDOW)), " ").cast("binary")))
+    windows = pieces.withColumn("w", words).select("anchor", "segment", "n", F.posexplode(each).alias("at", "digest"))
+    again = windows.groupBy("anchor", "digest").agg(F.sum("n").alias("places")).filter("places > 1").select("anchor", "digest")
+    spans = F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + WINDOW)))  # at most 28 windows of a segment
+    return windows.join(again, ["anchor", "digest"]).groupBy("anchor", "segment").agg(spans.cast("array<int>").alias("spans"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, spans: array of (from, to) word positions, unmerged, that recurring windows cover; only where there are any.
 
@@ -178,11 +190,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     again = counted.join(kinds, "anchor")
     simple = again.filter("kinds = 1").select("anchor", "segment", F.array(F.lit(0), F.col("at.words")).cast("array<int>").alias("spans"))
     # a window found twice within one segment text is repeated there as well
-    mixed = materialise(again.filter("kinds > 1").select("anchor", "segment", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start"), F.col("at.words").alias("words")))
-    wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "segment", "n", "start", "words")).alias("wanted"))
-    pieces = segment_words(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "wanted"))
-    found = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_by_shard, "anchor long, segment long, spans array<int>")
-    hits = materialise(simple.unionByName(found))
+    mixed = materialise(again.filter("kinds > 1").select("anchor", "segment", "n", "kinds", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start"), F.col("at.words").alias("words")))
+    wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "segment", "n", "kinds", "start", "words")).alias("wanted"))
+    pieces = materialise(segment_words(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "wanted")))
+    few = pieces.filter(F.col("kinds") <= ANCHOR_SEGMENTS).select("anchor", "segment", "n", "piece")
+    found = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_by_shard, "anchor long, segment long, spans array<int>")
+    hits = materialise(simple.unionByName(found).unionByName(_common_anchors(pieces.filter(F.col("kinds") > ANCHOR_SEGMENTS))))
     placed = every.join(hits, ["anchor", "segment"]).select("doc_id", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
     return placed.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

@@ -103,6 +103,12 @@ def test_substring_dedup(docs, nothing, rows):
     assert substring.remove_repeats(nothing).count() == 0
 
 
+def test_common_anchors_are_counted_by_digest(docs, monkeypatch):
+    once = sorted(tuple(r) for r in substring.remove_repeats(docs).collect())
+    monkeypatch.setattr(substring, "ANCHOR_SEGMENTS", 0)
+    assert sorted(tuple(r) for r in substring.remove_repeats(docs).collect()) == once
+
+
 def test_automata_are_sharded_without_loss(monkeypatch):
     rng = np.random.default_rng(2)
     pieces = [list(map(int, rng.integers(1, 4, 60))) for _ in range(30)] + [list(range(10, 70))] * 2
