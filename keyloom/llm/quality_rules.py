@@ -136,3 +136,42 @@ def judge(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & near_class & near_words).alias("kept"), "class_distance", "word_distance",
     )
+
+
+def _oracle() -> str:
+    """The same rules as SQL for DuckDB."""
+    steps, left = [], "text"
+    for k, (_, chars) in enumerate(CLASSES):
+        quoted = chars.replace("'", "''").replace("\\'", "'")
+        steps.append(f"l{k} AS (SELECT *, regexp_replace({left}, '{quoted}', '', 'g') AS left{k} FROM {f'l{k - 1}' if k else 't'})")
+        left = f"left{k}"
+    sizes = ["length(text)", *[f"length(left{k})" for k in range(len(CLASSES))]]
+    counts = [f"({a} - {b})::DOUBLE" for a, b in zip(sizes, sizes[1:], strict=False)] + [f"{sizes[-1]}::DOUBLE"]
+    common = ", ".join(f"len(list_filter(w, lambda x: x = '{w}'))::DOUBLE" for w in COMMON_WORDS)
+    among = ", ".join(f"'{w}'" for w in COMMON_WORDS)
+    n_c, n_w = len(CLASSES) + 1, len(COMMON_WORDS) + 1
+    total = lambda name, n: ", ".join(f"sum({name}[{k + 1}])" for k in range(n))
+
+    def distance(counted: str, ref: str, n: int) -> str:
+        p, q = f"({counted}[i] / list_sum({counted}))", f"({ref}[i] / list_sum({ref}))"
+        part = f"0.5::DOUBLE * (CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END)"
+        return f"CASE WHEN list_sum({counted}) > 0 THEN sqrt(greatest(0.0::DOUBLE, list_sum(list_transform(range(1, {n + 1}), lambda i: {part})))) END"
+
+    return f"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+{", ".join(steps)},
+tri AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM t),
+twice AS (SELECT doc_id, s FROM tri GROUP BY doc_id, s HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS i FROM tri JOIN twice USING (doc_id, s)) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, (length(text) - ({counts[2]}))::BIGINT AS word_chars, ({counts[5]})::BIGINT AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  [{", ".join(counts)}] AS c, [{common}, len(list_filter(w, lambda x: x NOT IN ({among})))::DOUBLE] AS f FROM l{len(CLASSES) - 1} LEFT JOIN rep USING (doc_id)),
+r AS (SELECT lang AS of, [{total("c", n_c)}] AS rc, [{total("f", n_w)}] AS rf FROM m WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT NULL, [{total("c", n_c)}], [{total("f", n_w)}] FROM m),
+d AS (SELECT m.*, {distance("c", "rc", n_c)} AS cd, {distance("f", "rf", n_w)} AS wd, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS failed FROM m JOIN r ON m.lang IS NOT DISTINCT FROM r.of)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words, failed AS base_failed,
+  NOT failed AND (n_words < {MIN_JUDGED} OR coalesce(cd, 0) <= {CLASS_BASE} + {CLASS_NOISE}::DOUBLE / sqrt(greatest(n_words, 1)::DOUBLE)) AND (n_words < {MIN_JUDGED} OR coalesce(wd, 0) <= {WORD_BASE} + {WORD_NOISE}::DOUBLE / sqrt(greatest(n_words, 1)::DOUBLE)) AS kept,
+  round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM d
+"""
+
+
+ORACLE = _oracle()

@@ -27,7 +27,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(documents(spark, sf_dir))
+    judged = quality_rules.judge(documents(spark, sf_dir))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +57,4 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_line_dedup, op6_quality_rules, op8_decontamination, op9_near_dedup, op10_substring_dedup, op4_quality_classifier, op5_toxicity, op7_html_extraction)}
-ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op8_decontamination": decontam.ORACLE, "op10_substring_dedup": substring.ORACLE}
