@@ -172,8 +172,9 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     keyed = read.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    of_doc = keyed.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("rows"))
-    folded = of_doc.filter(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.sum("rows").alias("n_copies"))
+    # both are written, so that the join below has shuffles of its own, whose large partitions can be split
+    of_doc = materialise(keyed.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("rows")))
+    folded = materialise(of_doc.filter(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.sum("rows").alias("n_copies")))
     members = materialise(of_doc.join(folded, "digest", "left").select("doc_id", "first", "n_copies", "rows"))
     firsts = members.select(F.col("first").alias("doc_id"), F.lit(True).alias("is_first")).filter("doc_id is not null").distinct()
     sigs = materialise(signatures(read.filter(F.col("doc_id").isNotNull())).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
