@@ -186,7 +186,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     every = materialise(segments(docs))
     place = F.struct("doc_id", "start", "words")
     counted = materialise(every.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")))
-    kinds = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("places")).filter("places > 1")
+    # written, so that the join has shuffles of its own, whose large partitions can be split
+    kinds = materialise(counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("places")).filter("places > 1"))
     again = counted.join(kinds, "anchor")
     simple = again.filter("kinds = 1").select("anchor", "segment", F.array(F.lit(0), F.col("at.words")).cast("array<int>").alias("spans"))
     # a window found twice within one segment text is repeated there as well
