@@ -66,14 +66,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_CLASS + "+", -1), "")
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive row slices of about ``limit`` bytes of ``column`` each; a longer row stands alone."""
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of about ``limit`` bytes of ``column`` and at most ``rows`` rows; a longer row stands alone."""
     if not batch.num_rows:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, total = 0, 0
     for i, n in enumerate(lengths):
-        if i > start and total + n > limit:
+        if i > start and (total + n > limit or i - start >= rows):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

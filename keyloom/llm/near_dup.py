@@ -19,6 +19,8 @@ COORDINATES, BANDS, ROWS = 256, 36, 7
 #: Pairs whose signatures agree in fewer coordinates than this share are not verified: at a similarity of 0.8 that is
 #: 4.8 standard deviations away.
 AGREE = 0.68
+#: Documents whose darts are thrown together: each gets about 2000, however short it is.
+TOGETHER = 128
 #: Center elections before what is left is compared within its buckets.
 ELECTIONS = 2
 _DART, _PLACE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -107,7 +109,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in byte_slices(whole, "text", 1 << 20):
+            for b in byte_slices(whole, "text", 1 << 20, TOGETHER):
                 elements, sets = text_shingles(b.column("text"))
                 sig = dart_signatures(elements, np.ones(len(elements), np.int64), sets, b.num_rows)
                 bands = _bands(sig).view(np.int64)

@@ -103,3 +103,12 @@ def test_sketch_is_never_too_small(spark):
     bench = spark.createDataFrame([(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(5, 90)], "item_id long, text string")
     for r in decontam.sketch(bench).select("item_n", F.size("keys").alias("m")).collect():
         assert min(r.item_n, r.item_n - int(np.ceil(0.8 * r.item_n - 1e-9)) + 1) <= r.m
+
+
+def test_signatures_do_not_depend_on_the_block(spark):
+    texts = [f"one two three {i % 7} five six {i}" for i in range(3 * near_dup.TOGETHER + 5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    together = {r.doc_id: r.sig for r in near_dup.signatures(rows).collect()}
+    assert len(together) == len(texts)
+    for i in (0, near_dup.TOGETHER - 1, near_dup.TOGETHER, len(texts) - 1):
+        assert near_dup.signatures(rows.filter(rows.doc_id == i)).collect()[0].sig == together[i]
