@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keyloom.functions.ranges import matches
 from keyloom.operators import attention as A
 from keyloom.operators import vectors as V
-from keyloom.plans.registry import NOW_MS, query
+from keyloom.plans.registry import EVERY, NOW_MS, query, search
 
 #: Stored tokens: keys are the vectors, values their first eight numbers.
 DOT = "list_inner_product(q.embedding::DOUBLE[], k.embedding::DOUBLE[])"
@@ -18,8 +18,8 @@ def stored(t, low=0, high=None):
     return rows.filter((F.col("token") >= low) & (F.lit(True) if high is None else F.col("token") < high))
 
 
-def asked(t):
-    return t.vset.filter("vec_id < 4").select(F.col("element").alias("query"), F.col("embedding").alias("q"))
+def asked(t, which):
+    return t.vset.filter(which).select(F.col("element").alias("query"), F.col("embedding").alias("q"))
 
 
 def softmax(where="true", extra=""):
@@ -31,25 +31,25 @@ def shown(df):
     return df.select("query", F.round(F.get("out", F.lit(0)), 6).alias("o1"), F.round(F.get("out", F.lit(7)), 6).alias("o8"), F.round("lse", 6).alias("lse"))
 
 
-@query("attend_prefix_query", softmax())
-def attend_prefix_query(t):
-    return shown(A.attend(stored(t), asked(t)))
+@search("attend_prefix_query", softmax(), "vec_id < 4")
+def attend_prefix_query(t, which):
+    return shown(A.attend(stored(t), asked(t, which)))
 
 
-@query("attend_prefix_window", softmax("k.vec_id >= 300"))
-def attend_prefix_window(t):
-    return shown(A.attend(stored(t, 300), asked(t)))
+@search("attend_prefix_window", softmax("k.vec_id >= 300"), "vec_id < 4")
+def attend_prefix_window(t, which):
+    return shown(A.attend(stored(t, 300), asked(t, which)))
 
 
-@query("attend_prefix_query_fused", softmax())
-def attend_prefix_query_fused(t):
-    return shown(A.attend_fused(stored(t, 0, 400), stored(t, 400), asked(t)))
+@search("attend_prefix_query_fused", softmax(), "vec_id < 4")
+def attend_prefix_query_fused(t, which):
+    return shown(A.attend_fused(stored(t, 0, 400), stored(t, 400), asked(t, which)))
 
 
-@query("attend_prefix_query_sparse", softmax("k.vec_id % 7 = 0"))
-def attend_prefix_query_sparse(t):
+@search("attend_prefix_query_sparse", softmax("k.vec_id % 7 = 0"), "vec_id < 4")
+def attend_prefix_query_sparse(t, which):
     wanted = t.vset.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("token"))
-    return shown(A.attend(stored(t).join(wanted, "token", "left_semi"), asked(t)))
+    return shown(A.attend(stored(t).join(wanted, "token", "left_semi"), asked(t, which)))
 
 
 _BLOCKS = "SELECT block, round(sum(w * mean), 6) AS score FROM (SELECT block, dim, avg(x) AS mean, any_value(w) AS w FROM (SELECT k.vec_id // 32 AS block, unnest(range(1, 65)) AS dim, unnest(k.embedding)::DOUBLE AS x, unnest(q.embedding)::DOUBLE AS w FROM vset k JOIN vset q ON q.vec_id = 2) GROUP BY block, dim) GROUP BY block"
@@ -71,38 +71,50 @@ def attend_select_quest(t):
     return blocks(t, 1).withColumn("score", F.round("score", 6))
 
 
-@query("attend_prefix_query_sparse_auto", softmax(f"k.vec_id // 32 IN (SELECT block FROM (SELECT * FROM ({_BLOCKS}) ORDER BY score DESC, block LIMIT 5))"))
-def attend_prefix_query_sparse_auto(t):
+@search("attend_prefix_query_sparse_auto", softmax(f"k.vec_id // 32 IN (SELECT block FROM (SELECT * FROM ({_BLOCKS}) ORDER BY score DESC, block LIMIT 5))"), "vec_id < 4")
+def attend_prefix_query_sparse_auto(t, which):
     rows = stored(t).withColumn("block", F.floor(F.col("token") / 32)).join(blocks(t, 0), "block", "left_semi")
-    return shown(A.attend(rows, asked(t)))
+    return shown(A.attend(rows, asked(t, which)))
 
 
-@query("attend_prefix_query_sparse_auto_fused", softmax(f"k.vec_id >= 480 OR k.vec_id // 32 IN (SELECT block FROM (SELECT * FROM ({_BLOCKS.replace('q.vec_id = 2', 'q.vec_id = 2 WHERE k.vec_id < 480')}) ORDER BY score DESC, block LIMIT 5))"))
-def attend_prefix_query_sparse_auto_fused(t):
+@search("attend_prefix_query_sparse_auto_fused", softmax(f"k.vec_id >= 480 OR k.vec_id // 32 IN (SELECT block FROM (SELECT * FROM ({_BLOCKS.replace('q.vec_id = 2', 'q.vec_id = 2 WHERE k.vec_id < 480')}) ORDER BY score DESC, block LIMIT 5))"), "vec_id < 4")
+def attend_prefix_query_sparse_auto_fused(t, which):
     q = t.vset.filter("vec_id = 2").first()["embedding"]
     prefix = stored(t, 0, 480)
     chosen = A.select_blocks(prefix, list(q), 32, 5)
     rows = prefix.withColumn("block", F.floor(F.col("token") / 32)).join(chosen, "block", "left_semi")
-    return shown(A.attend_fused(rows, stored(t, 480), asked(t)))
+    return shown(A.attend_fused(rows, stored(t, 480), asked(t, which)))
 
 
-@query("attend_query", "SELECT query, element, round(v1, 6) AS v1 FROM (SELECT q.element AS query, k.element, k.embedding[1]::DOUBLE AS v1, row_number() OVER (PARTITION BY q.element ORDER BY round(pow(list_distance(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 2), 12), k.element) AS n FROM vset q JOIN vset k ON q.vec_id < 4) WHERE n <= 6")
-def attend_query(t):
-    found = V.nearest(t.vset, t.vset.filter("vec_id < 4").select(F.col("element").alias("query"), "embedding"), 6, "l2")
+@search("attend_query", "SELECT query, element, round(v1, 6) AS v1 FROM (SELECT q.element AS query, k.element, k.embedding[1]::DOUBLE AS v1, row_number() OVER (PARTITION BY q.element ORDER BY round(pow(list_distance(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 2), 12), k.element) AS n FROM vset q JOIN vset k ON q.vec_id < 4) WHERE n <= 6", "vec_id < 4")
+def attend_query(t, which):
+    found = V.nearest(t.vset, t.vset.filter(which).select(F.col("element").alias("query"), "embedding"), 6, "l2")
     return found.join(t.vset, "element").select("query", "element", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("v1"))
 
 
-@query("semantic_cache_get", "SELECT query, element, score FROM (SELECT q.element AS query, k.element, round(list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.element ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 12), k.element) AS n FROM vset q JOIN vset k ON q.vec_id % 50 = 0 AND k.vec_id % 2 = 1) WHERE n = 1 AND score >= 0.2")
+_CACHED = "SELECT query, element, score FROM (SELECT q.element AS query, k.element, round(list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.element ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 12), k.element) AS n FROM vset q JOIN vset k ON q.vec_id % 50 = 0 AND k.vec_id % 2 = 1) WHERE n = 1 AND score >= 0.2"
+
+
+@query("semantic_cache_get", _CACHED)
 def semantic_cache_get(t):
-    queries = t.vset.filter("vec_id % 50 = 0").select(F.col("element").alias("query"), "embedding")
-    return A.nearest_cached(t.vset.filter("vec_id % 2 = 1"), queries, 0.2).withColumn("score", F.round("score", 6))
+    return cached(t, "vec_id % 50 = 0", "vec_id % 2 = 1")
+
+
+@query("semantic_cache_get_every20", _CACHED.replace("q.vec_id % 50 = 0 AND k.vec_id % 2 = 1", f"q.{EVERY}"))
+def semantic_cache_get_every20(t):
+    return cached(t, EVERY, "true")
+
+
+def cached(t, which, entries):
+    queries = t.vset.filter(which).select(F.col("element").alias("query"), "embedding")
+    return A.nearest_cached(t.vset.filter(entries), queries, 0.2).withColumn("score", F.round("score", 6))
 
 
-@query("kv_fetch", f"SELECT query, element FROM (SELECT q.element AS query, k.element, list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS c, k.vec_id, row_number() OVER (PARTITION BY q.element ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 12), k.element) AS n FROM vset q JOIN vset k ON q.vec_id < 10) WHERE n <= 8 AND c >= 0.1 AND (vec_id % 3) * 2000000 > {NOW_MS} QUALIFY row_number() OVER (PARTITION BY query ORDER BY n) = 1")
-def kv_fetch(t):
+@search("kv_fetch", f"SELECT query, element FROM (SELECT q.element AS query, k.element, list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS c, k.vec_id, row_number() OVER (PARTITION BY q.element ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 12), k.element) AS n FROM vset q JOIN vset k ON q.vec_id < 10) WHERE n <= 8 AND c >= 0.1 AND (vec_id % 3) * 2000000 > {NOW_MS} QUALIFY row_number() OVER (PARTITION BY query ORDER BY n) = 1", "vec_id < 10")
+def kv_fetch(t, which):
     from pyspark.sql import Window
 
-    near = V.nearest(t.vset, t.vset.filter("vec_id < 10").select(F.col("element").alias("query"), "embedding"), 8, "cos_dist")
+    near = V.nearest(t.vset, t.vset.filter(which).select(F.col("element").alias("query"), "embedding"), 8, "cos_dist")
     live = near.join(t.vset.select("element", "vec_id"), "element").filter((1 - F.col("score") >= 0.1) & (F.col("vec_id") % 3 * 2_000_000 > NOW_MS))
     return live.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).filter("n = 1").select("query", "element")
 

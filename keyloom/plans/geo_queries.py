@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.operators import geo as G
-from keyloom.plans.registry import query
+from keyloom.plans.registry import query, search
 
 R = G.RADIUS
 CELLS = "c AS (SELECT key, member, floor((lat + 85.05112878) / 170.10225756 * 67108864)::BIGINT AS y, floor((lon + 180.0) / 360.0 * 67108864)::BIGINT AS x FROM kv_geo WHERE abs(lat) <= 85.05112878), p AS (SELECT key, member, x, y, (x + 0.5) / 67108864 * 360.0 - 180.0 AS lon, (y + 0.5) / 67108864 * 170.10225756 - 85.05112878 AS lat FROM c)"
@@ -72,8 +72,8 @@ def geosearchstore(t):
 _MEMBERS = f"WITH {CELLS} SELECT a.key, a.member AS center, b.member, round({dist('a.lon', 'a.lat', 'b.lon', 'b.lat')} / 1000, 3) AS dist FROM p a JOIN p b ON a.key = b.key WHERE a.member LIKE 'c2%' AND {dist('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 1000000"
 for _name in ("georadiusbymember", "georadiusbymember_ro"):
 
-    @query(_name, _MEMBERS)
-    def _bymember(t):
+    @search(_name, _MEMBERS, "a.member LIKE 'c2%'", "CAST(substr(a.member, 2) AS BIGINT) % 20 = 0")
+    def _bymember(t, which):
         p = places(t)
-        found = G.around_members(p, p.filter("member LIKE 'c2%'").select("key", "member"), 1000.0, "KM")
+        found = G.around_members(p, p.alias("a").filter(which).select("key", "member"), 1000.0, "KM")
         return found.withColumn("dist", F.round("dist", 3))

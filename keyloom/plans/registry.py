@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,9 @@ VIEWS: dict[str, list[tuple[str, str]]] = {
 #: The moment that reads with a lifetime take as now, in milliseconds.
 NOW_MS = 3_000_000
 
+#: The whole query set of a search: every row whose id is divisible by 20.
+EVERY = "vec_id % 20 = 0"
+
 Query = Callable[["Tables"], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -74,5 +78,22 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def search(name: str, sql: str, few: str, every: str = EVERY) -> Callable[[Callable[["Tables", str], DataFrame]], Callable]:
+    """Register a search over the few rows that its SQL asks for, and as ``<name>_every20`` over its whole query set.
+
+    The function takes the condition of the rows asked for; the second SQL is the first with that condition replaced.
+    """
+
+    def add(f: Callable[["Tables", str], DataFrame]) -> Callable:
+        whole, n = re.subn(re.escape(few) + r"(?!\d)", lambda _: every, sql)
+        if not n:
+            raise ValueError(f"the SQL of {name} does not ask for {few}")
+        query(name, sql)(lambda t: f(t, few))
+        query(f"{name}_every20", whole)(lambda t: f(t, every))
+        return f
+
+    return add
+
+
 def bound() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in QUERIES.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.operators import vectors as V
-from keyloom.plans.registry import query
+from keyloom.plans.registry import query, search
 
 DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -13,8 +13,8 @@ L2 = "pow(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2)"
 PAIRS = "vset a JOIN vset b ON a.vec_id < 5"
 
 
-def asked(t):
-    return t.vset.filter("vec_id < 5").select(F.col("element").alias("query"), "embedding")
+def asked(t, which):
+    return t.vset.filter(which).select(F.col("element").alias("query"), "embedding")
 
 
 def top(sql, order, k):
@@ -25,24 +25,24 @@ def shown(df):
     return df.select("query", "element", F.round("score", 6).alias("score"))
 
 
-@query("vsim", top(f"(1 + {COS}) / 2", "DESC", 10))
-def vsim(t):
-    return shown(V.nearest(t.vset, asked(t), 10))
+@search("vsim", top(f"(1 + {COS}) / 2", "DESC", 10), "vec_id < 5")
+def vsim(t, which):
+    return shown(V.nearest(t.vset, asked(t, which), 10))
 
 
-@query("vsim_epsilon", f"SELECT * FROM ({top(f'(1 + {COS}) / 2', 'DESC', 20)}) WHERE 1 - score <= 0.35")
-def vsim_epsilon(t):
-    return shown(V.nearest(t.vset, asked(t), 20)).filter("1 - score <= 0.35")
+@search("vsim_epsilon", f"SELECT * FROM ({top(f'(1 + {COS}) / 2', 'DESC', 20)}) WHERE 1 - score <= 0.35", "vec_id < 5")
+def vsim_epsilon(t, which):
+    return shown(V.nearest(t.vset, asked(t, which), 20)).filter("1 - score <= 0.35")
 
 
-@query("knn_l2", top(L2, "", 8))
-def knn_l2(t):
-    return shown(V.nearest(t.vset, asked(t), 8, "l2"))
+@search("knn_l2", top(L2, "", 8), "vec_id < 5")
+def knn_l2(t, which):
+    return shown(V.nearest(t.vset, asked(t, which), 8, "l2"))
 
 
-@query("knn_cosine", top(f"1 - {COS}", "", 8))
-def knn_cosine(t):
-    return shown(V.nearest(t.vset, asked(t), 8, "cos_dist"))
+@search("knn_cosine", top(f"1 - {COS}", "", 8), "vec_id < 5")
+def knn_cosine(t, which):
+    return shown(V.nearest(t.vset, asked(t, which), 8, "cos_dist"))
 
 
 @query("vcard", "SELECT count(*) AS n FROM vset")

@@ -48,3 +48,19 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     wanted = sorted(repr(tuple(norm(dict(zip(names, r, strict=True))[c]) for c in columns)) for r in got.fetchall())
     assert rows == wanted
+
+
+EVERY20 = sorted(n for n in registry.QUERIES if n.endswith("_every20"))
+
+
+def test_searches_have_their_whole_query_set():
+    """Every search that asks for a few rows is there over every 20th row as well, against all rows."""
+    few = ["vsim", "vsim_epsilon", "knn_l2", "knn_cosine", "attend_query", "kv_fetch", "semantic_cache_get", "georadiusbymember", "georadiusbymember_ro"]
+    few += ["attend_prefix_query", "attend_prefix_window", "attend_prefix_query_fused", "attend_prefix_query_sparse", "attend_prefix_query_sparse_auto", "attend_prefix_query_sparse_auto_fused"]
+    assert EVERY20 == sorted(f"{n}_every20" for n in few)
+
+
+@pytest.mark.parametrize("name", [n for n in EVERY20 if n.startswith(("vsim_every", "knn", "attend_prefix"))])
+def test_every_20th_vector_is_asked(spark, name):
+    asked = {f"v{r.vec_id}" for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect() if r.vec_id % 20 == 0}
+    assert {r.query for r in registry.bound()[name](spark, DATA).select("query").collect()} == asked
