@@ -223,10 +223,20 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` without those whose class has a smaller doc_id; of rows that share an id one stays.
+    """One row of each class of ``docs``: a row of its smallest doc_id.
 
-    Rows with a null id all stay.
+    Of rows that share an id the one with the smallest text digest stays (then with the smallest hash over all columns),
+    which is the text that ``classes`` compares. Rows with a null id are documents by their text, after all that have an
+    id: of equal or near texts one row stays, and none if a row with an id has such a text.
     """
-    later = classes(docs, similar).filter(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias("__later"))
-    kept = docs.join(later, F.col("doc_id").cast("long") == F.col("__later"), "left_anti")
-    return kept
+    digest = F.unhex(F.md5(text_of().cast("binary")))
+    last, without = docs.agg(F.max(F.col("doc_id").cast("long")), F.count_if(F.col("doc_id").isNull())).first()
+    own = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    if without:
+        nameless = docs.filter(F.col("doc_id").isNull()).withColumn("__digest", digest)
+        numbered = materialise(nameless.select("__digest").distinct().withColumn("__id", F.monotonically_increasing_id() + F.lit(last or 0) + 1))
+        own = own.filter(F.col("doc_id").isNotNull()).unionByName(nameless.join(numbered, "__digest").drop("__digest"))
+    classed = classes(own.select(F.col("__id").alias("doc_id"), "text"), similar)
+    later = classed.filter(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias("__id"))
+    one = own.groupBy("__id").agg(F.min_by(F.struct(*docs.columns), F.struct(digest, F.xxhash64(*docs.columns))).alias("__row"))
+    return one.join(later, "__id", "left_anti").select("__row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -53,6 +54,20 @@ def test_null_ids_stay_alone(spark):
     assert got == [(0, 0), (1, 1), (2, 1)]
 
 
+def test_keep_one_counts_rows(spark, docs):
+    """One row of each class, not one id: repeated rows and rows without an id are copies too."""
+    assert near_dup.keep_one(docs).count() == len(set(brute_classes([(r.doc_id, r.text or "") for r in docs.collect()]).values()))
+    long = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, "same", "a"), (1, "same", "a"), (1, "same", "b"), (2, "same", "c"), (None, "same", "d"), (None, "alone", "e"), (None, "alone", "e")]
+    rows += [(7, "x y", "f"), (7, "z", "g"), (None, long, "h"), (None, long + " more", "i"), (None, None, "j"), (None, "", "k"), (-3, "minus", "l")]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert kept.columns == ["doc_id", "text", "lang"]
+    got = [(r.doc_id, r.text or "") for r in kept.collect()]
+    smallest = min(("x y", "z"), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert sorted(t for _, t in got if t not in (long, long + " more")) == sorted(["same", "alone", smallest, "", "minus"])
+    assert {(1, "same"), (None, "alone"), (7, smallest), (-3, "minus")} <= set(got) and len(got) == 6
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     e = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
