@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,32 +29,53 @@ def shingles(words: Column, n: int = SHINGLE) -> Column:
     return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
-def sketch(items: DataFrame, contained: float = CONTAINED) -> DataFrame:
+def plain_words(text: Column) -> Column:
+    """The words in lower case, without punctuation at their edges; a word of punctuation alone is none."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{M}\p{N}])?"), F.lit(0))
+
+
+def sketch(items: DataFrame, contained: float = CONTAINED, words: Callable[[Column], Column] = words_of) -> DataFrame:
     """item_id, item_n, size_class, item_shingles, keys: the smallest hashes of each item.
 
     Items are partitioned by size (powers of two). A document that holds ``contained`` of an item's n shingles misses
     at most n - ceil(contained n) of them, so it holds one of any larger number: that many smallest hashes, counted for
     the largest item of the size class, are a MinHash sketch that misses no match.
     """
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), shingles(words_of(text_of())).alias("item_shingles"))
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), shingles(words(text_of())).alias("item_shingles"))
     own = own.filter(F.size("item_shingles") > 0).withColumn("item_n", F.size("item_shingles")).withColumn("size_class", F.floor(F.log2("item_n")).cast("int"))
     largest = F.pow(F.lit(2.0), F.col("size_class") + 1) - 1
     width = (largest - F.ceil(largest * contained) + 1).cast("int")
     return own.withColumn("keys", F.slice(F.array_sort("item_shingles"), F.lit(1), width))
 
 
-def leaks(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, contained: float = CONTAINED, words: Callable[[Column], Column] = words_of) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment for every document that holds enough of an item's shingles.
 
     The whole documents are searched in one pass, without a shuffle of texts: each distinct shingle is looked up among
     the sketch keys (broadcast in blocks of bounded size), and a hit is verified at once against the document's own
     shingles. A repeated doc_id or item_id keeps its best row; null or empty texts on either side match nothing; an item
-    under five words is matched only by a text of just these words.
+    under five words is matched only by a text of just these words. Words are compared as they are, or as ``words`` gives
+    them.
     """
-    index = sketch(items, contained)
+    return _search(shingles(words(text_of())), docs, sketch(items, contained, words), contained)
+
+
+def short_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """As ``leaks`` over plain words, for items of one to four of them: every document that holds them one after the other."""
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), plain_words(text_of()).alias("w"))
+    own = own.withColumn("n", F.size("w")).filter((F.col("n") > 0) & (F.col("n") < SHINGLE))
+    found = None
+    for (n,) in sorted(own.select("n").distinct().collect()):
+        index = own.filter(F.col("n") == n).select("item_id", shingles(F.col("w"), n).alias("item_shingles"), F.lit(1).alias("item_n"))
+        hits = _search(shingles(plain_words(text_of()), n), docs, index.withColumn("keys", F.col("item_shingles")), 1.0)
+        found = hits if found is None else found.unionAll(hits)
+    return leaks(docs.limit(0), items.limit(0)) if found is None else found
+
+
+def _search(of_text: Column, docs: DataFrame, index: DataFrame, contained: float) -> DataFrame:
     n = index.agg(F.sum("item_n")).first()[0] or 0
     blocks = max(1, math.ceil(n / BROADCAST_SHINGLES))
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(words_of(text_of())).alias("s"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), of_text.alias("s"))
     probes = read.select("doc_id", "s", F.explode_outer("s").alias("key"))  # outer: no filter on its size goes below
     found = None
     for k in range(blocks):
@@ -67,8 +89,13 @@ def leaks(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> Da
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
-    """The rows of ``docs`` that hold no item; rows with a null id are judged together."""
-    leaked = leaks(docs, items, contained).select(F.col("doc_id").alias("__leaked")).distinct()
+    """The rows of ``docs`` that hold no item; rows with a null id are judged together.
+
+    An item is held by the words as they are, by plain words (``plain_words``), or, if it has under five plain words, as
+    a run of these anywhere in the text.
+    """
+    found = leaks(docs, items, contained).unionAll(leaks(docs, items, contained, plain_words)).unionAll(short_leaks(docs, items))
+    leaked = found.select(F.col("doc_id").alias("__leaked")).distinct()
     return docs.join(leaked, F.col("doc_id").cast("long").eqNullSafe(F.col("__leaked")), "left_anti")
 
 

@@ -107,6 +107,16 @@ def test_leaks(spark, docs, nothing, rows):
     assert decontam.leaks(nothing, bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_sees_capitals_punctuation_and_short_items(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank"
+    texts = [f"start {item.upper()} end", "so (" + item.replace(" ", ", ") + ")!", f"plain {item} too", "nothing of it here at all", "they said: Grüße, WELT! and left", "grüße an die welt", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, "Grüße Welt"), (2, "--"), (3, None)], "item_id long, text string")
+    assert {r.doc_id for r in decontam.decontaminate(docs, bench).collect()} == {3, 5, 6}
+    assert {r.doc_id for r in decontam.leaks(docs, bench).collect()} == {2}
+    assert decontam.decontaminate(docs, bench.limit(0)).count() == len(texts)
+
+
 def test_leaks_in_blocks(spark, docs, rows, monkeypatch):
     bench = spark.createDataFrame([(k, " ".join(WORD.findall(rows[8][1])[k * 20 : k * 20 + 20])) for k in range(6)], "item_id long, text string")
     whole = sorted(map(tuple, decontam.leaks(docs, bench).collect()))
