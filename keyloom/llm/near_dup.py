@@ -175,11 +175,14 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     keyed = read.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     # both are written, so that the join below has shuffles of its own, whose large partitions can be split
-    of_doc = materialise(keyed.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("rows")))
+    of_doc = materialise(keyed.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other"), F.count(F.lit(1)).alias("rows")))
     folded = materialise(of_doc.filter(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.sum("rows").alias("n_copies")))
+    # the only text of each id that is signed, verified and folded
+    several = materialise(of_doc.filter("doc_id IS NOT NULL AND digest <> other").select("doc_id", F.col("digest").alias("chosen")))
+    read = keyed.filter(F.col("doc_id").isNotNull()).join(several, "doc_id", "left").filter("chosen IS NULL OR digest = chosen").select("doc_id", "text")
     members = materialise(of_doc.join(folded, "digest", "left").select("doc_id", "first", "n_copies", "rows"))
     firsts = members.select(F.col("first").alias("doc_id"), F.lit(True).alias("is_first")).filter("doc_id is not null").distinct()
-    sigs = materialise(signatures(read.filter(F.col("doc_id").isNotNull())).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sigs = materialise(signatures(read).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     banded = sigs.filter("n_shingles > 0").select("doc_id", F.posexplode("bands").alias("band", "hash")).select("doc_id", F.xxhash64("band", "hash").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = materialise(banded.join(shared, "bucket"))

@@ -68,6 +68,22 @@ def test_keep_one_counts_rows(spark, docs):
     assert {(1, "same"), (None, "alone"), (7, smallest), (-3, "minus")} <= set(got) and len(got) == 6
 
 
+def test_a_repeated_id_is_the_text_with_the_smallest_digest(spark):
+    """Whichever of an id's texts has the smallest digest is the one that is compared."""
+    first = " ".join(f"w{k}" for k in range(100))
+    other = " ".join(f"v{k}" for k in range(100))
+    rows, wanted = [], {}
+    for k in range(12):
+        texts = [f"{first} a{k}", f"{other} b{k}"]
+        chosen = min(texts, key=lambda t: hashlib.md5(t.encode()).digest())
+        rows += [(10 + k, t) for t in texts]
+        wanted[10 + k] = 1 if chosen.startswith("w0") else 2
+    rows += [(1, first), (2, other)]
+    assert set(wanted.values()) == {1, 2}
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == wanted | {1: 1, 2: 2}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     e = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
