@@ -19,10 +19,18 @@ def dot(a: Column, b: Column) -> Column:
 def partials(rows: DataFrame, queries: DataFrame, scale: float | None = None, key: str = "k", value: str = "v") -> DataFrame:
     """Per query and partition: the largest score m, the sum s of exp(score - m), and the weighted value sums acc.
 
-    This is the online softmax: partitions are read once, and one row per query leaves each of them.
+    This is the online softmax: partitions are read once per block of queries, and one row per query leaves each of them.
     """
-    names, q = _queries(queries, "q")
-    sent = rows.sparkSession.sparkContext.broadcast((names, q))
+    out = None
+    for block in _queries(queries, "q"):
+        part = _partials_block(rows, block, scale, key, value)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def _partials_block(rows: DataFrame, block: tuple[list, np.ndarray], scale: float | None, key: str, value: str) -> DataFrame:
+    """The partials of one block of queries."""
+    sent = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         who, asked = sent.value

@@ -28,26 +28,43 @@ def restored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("vector", F.transform("unit", lambda x: x * F.col("norm")))
 
 
-def _queries(queries: DataFrame, vector: str) -> tuple[list, np.ndarray]:
-    """The query batch of a search: named vectors, whose size is checked."""
-    rows = queries.select("query", vector).limit(1 + QUERY_BYTES // 64).collect()
-    m = np.array([r[1] for r in rows], np.float64)
-    if m.nbytes > QUERY_BYTES:
-        raise ValueError("too many query vectors for one batch; search them in parts")
-    return [r[0] for r in rows], m
+def _queries(queries: DataFrame, vector: str) -> Iterator[tuple[list, np.ndarray]]:
+    """All query vectors of a search, named, in blocks of at most QUERY_BYTES (one vector at least); one empty block if there are none."""
+    names: list = []
+    rows: list = []
+    size = 0
+    for name, v in queries.select("query", vector).toLocalIterator():
+        width = 8 * len(v)
+        if names and size + width > QUERY_BYTES:
+            yield names, np.array(rows, np.float64)
+            names, rows, size = [], [], 0
+        names.append(name)
+        rows.append(np.array(v, np.float64))
+        size += width
+    yield names, np.array(rows, np.float64)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", element: str = "element", vector: str = "embedding") -> DataFrame:
     """query, element, score: the k nearest elements of every query, exact.
 
-    The queries (checked to be at most QUERY_BYTES) go to every partition of the rows, which are read once; a partition
+    The queries go to every partition of the rows in blocks of QUERY_BYTES; the rows are read once per block. A partition
     multiplies its batches with all queries at once and passes on its own k best per query, so what is shuffled is k rows
     per query and partition. metric: ``cosine`` gives (1 + cos) / 2, highest first; ``l2`` the squared distance and
     ``cos_dist`` 1 - cos, lowest first. Ties go to the smaller element.
     """
-    spark = rows.sparkSession
-    names, q = _queries(queries, vector)
-    sent = spark.sparkContext.broadcast((names, q))
+    low_first = metric != "cosine"
+    out = None
+    for block in _queries(queries, vector):
+        found = _nearest_block(rows, block, k, metric, element, vector)
+        out = found if out is None else out.unionAll(found)
+    rounded = F.round("score", 12)
+    w = Window.partitionBy("query").orderBy(rounded.asc() if low_first else rounded.desc(), "element")
+    return out.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+
+
+def _nearest_block(rows: DataFrame, block: tuple[list, np.ndarray], k: int, metric: str, element: str, vector: str) -> DataFrame:
+    """The k best of every partition for each query of a block."""
+    sent = rows.sparkSession.sparkContext.broadcast(block)
     low_first = metric != "cosine"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,10 +89,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         if best:
             yield pd.concat(best, ignore_index=True).astype({"query": object, "element": object})
 
-    out = rows.select(element, vector).mapInPandas(run, f"query string, element {rows.schema[element].dataType.simpleString()}, score double")
-    rounded = F.round("score", 12)
-    w = Window.partitionBy("query").orderBy(rounded.asc() if low_first else rounded.desc(), "element")
-    return out.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    return rows.select(element, vector).mapInPandas(run, f"query string, element {rows.schema[element].dataType.simpleString()}, score double")
 
 
 def kmeans(rows: DataFrame, cells: int, sample: int = 20_000, rounds: int = 10, vector: str = "embedding", seed: int = 1) -> np.ndarray:

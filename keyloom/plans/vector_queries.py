@@ -115,7 +115,7 @@ def ann_recall(t):
     d = F.aggregate(F.zip_with("embedding", "q", lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda a, x: a + x)
     from pyspark.sql import Window
 
-    near = index.join(F.broadcast(probes), "cell").select("query", "element", d.alias("d"))  # a bounded batch of queries
+    near = index.join(probes, "cell").select("query", "element", d.alias("d"))  # the probes grow with the rows
     found = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("d", "element"))).filter("n <= 10")
     exact = V.nearest(t.vset, queries.select(F.col("element").alias("query"), "embedding"), 10, "l2").select("query", "element")
     hits = exact.join(found.select("query", "element", F.lit(1).alias("hit")), ["query", "element"], "left")

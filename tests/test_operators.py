@@ -156,3 +156,20 @@ def test_consumer_group_stream_hands_out_every_entry_once(spark, tmp_path):
     run.stop()
     got = {(r.key, r.seq): r.consumer for r in spark.table("pending").collect()}
     assert got == {("s", 0): "c0", ("s", 1): "c1", ("s", 2): "c0", ("s", 3): "c1", ("s", 4): "c0", ("t", 0): "c0"}
+
+
+def test_searches_go_on_past_one_block_of_queries(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from keyloom.operators import attention as A
+    from keyloom.operators import vectors as V
+
+    rows = spark.createDataFrame([(f"v{k}", [float(k), float(k * k % 7)]) for k in range(12)], "element string, embedding array<float>").repartition(2)
+    queries = rows.select(F.col("element").alias("query"), "embedding")
+    found = lambda: sorted((r.query, r.element, r.rank) for r in V.nearest(rows, queries, 3, "l2").collect())
+    read = lambda: sorted((r.query, round(r.lse, 9)) for r in A.attend(rows.select(F.col("embedding").alias("k"), F.col("embedding").alias("v")), queries.select("query", F.col("embedding").alias("q"))).collect())
+    whole = found(), read()
+    assert len(whole[0]) == 36 and len(whole[1]) == 12
+    monkeypatch.setattr(V, "QUERY_BYTES", 80)
+    assert (found(), read()) == whole
+    assert V.nearest(rows, queries.limit(0), 3).count() == 0
