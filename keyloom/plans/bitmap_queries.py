@@ -24,6 +24,12 @@ def getbit(t):
     return B.get_bits(t.kv_bits, t.customer.filter("c_custkey % 7 = 0").select(F.lit("click").alias("key"), F.col("c_custkey").alias("pos")))
 
 
+@query("getbit_all", "SELECT k.key, c_custkey AS pos, CASE WHEN b.pos IS NULL THEN 0 ELSE 1 END AS bit FROM (SELECT DISTINCT key FROM kv_bits) k CROSS JOIN customer LEFT JOIN kv_bits b ON b.key = k.key AND b.pos = c_custkey")
+def getbit_all(t):
+    keys = t.kv_bits.select("key").distinct()
+    return B.get_bits(t.kv_bits, t.customer.select(F.col("c_custkey").alias("pos")).crossJoin(keys).select("key", "pos"))
+
+
 @query("bitcount", "SELECT key, count(DISTINCT pos) AS n FROM kv_bits GROUP BY key")
 def bitcount(t):
     return B.count(t.kv_bits)

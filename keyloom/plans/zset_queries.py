@@ -31,6 +31,16 @@ def zrevrank(t):
     return Z.rank(t.kv_zset, asked(t), rev=True)
 
 
+@query("zrank_all", f"WITH {RANKED} SELECT key, member, rank, score FROM r")
+def zrank_all(t):
+    return Z.rank(t.kv_zset, t.kv_zset.select("key", "member"))
+
+
+@query("zrevrank_all", f"WITH {RANKED} SELECT key, member, rrank AS rank, score FROM r")
+def zrevrank_all(t):
+    return Z.rank(t.kv_zset, t.kv_zset.select("key", "member"), rev=True)
+
+
 @query("zrange", f"WITH {RANKED} SELECT key, rank, member, score FROM r WHERE rank BETWEEN 2 AND size - 3")
 def zrange(t):
     return Z.range_by_rank(t.kv_zset, 2, -3)

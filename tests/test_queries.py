@@ -64,3 +64,10 @@ def test_searches_have_their_whole_query_set():
 def test_every_20th_vector_is_asked(spark, name):
     asked = {f"v{r.vec_id}" for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect() if r.vec_id % 20 == 0}
     assert {r.query for r in registry.bound()[name](spark, DATA).select("query").collect()} == asked
+
+
+@pytest.mark.parametrize("name", ["zrank_all", "zrevrank_all", "getbit_all", "kv_prefix_longest_all"])
+def test_lookups_ask_for_the_whole_table(spark, name):
+    n = spark.read.parquet(f"{DATA}/customer.parquet").count()
+    keys = spark.read.parquet(f"{DATA}/events.parquet").select("event_type").distinct().count() if name == "getbit_all" else 1
+    assert registry.bound()[name](spark, DATA).count() == n * keys
