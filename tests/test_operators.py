@@ -173,3 +173,9 @@ def test_searches_go_on_past_one_block_of_queries(spark, monkeypatch):
     monkeypatch.setattr(V, "QUERY_BYTES", 80)
     assert (found(), read()) == whole
     assert V.nearest(rows, queries.limit(0), 3).count() == 0
+
+
+def test_catalog_lists_what_is_not_built():
+    from keyloom.plans import catalog
+
+    assert {"ATTEND.STORE", "ATTEND.PREFIX.STORE", "KV.STORE", "V.CREATE", "STATE.ALLOC", "AI.MEMORY RECALL", "BLOCK FP8"} <= set(catalog.NOT_BUILT)
