@@ -20,9 +20,15 @@ ASCII_LOWER = ASCII_UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset a session on one machine (``local[...]``) gets a temporary one; any other session is refused, as its
+    executors would write to disks of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="keyloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,6 +58,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def column(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or that with a number after it, which no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}{k}" for k in range(len(taken) + 1))) if n not in taken)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -66,7 +83,7 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_CLASS + "+", -1), "")
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+def byte_slices(batch: pa.RecordBatch, column: str | int, limit: int = 4 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of about ``limit`` bytes of ``column`` and at most ``rows`` rows; a longer row stands alone."""
     if not batch.num_rows:
         return

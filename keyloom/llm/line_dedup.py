@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from keyloom.llm.common import ASCII_LOWER, ASCII_UPPER, SPACES, byte_slices, materialise, mix64, small_batches, text_of
+from keyloom.llm.common import ASCII_LOWER, ASCII_UPPER, SPACES, byte_slices, column, materialise, mix64, small_batches, text_of
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Line hashes of one shard of the index, and probes that one task answers.
 SHARD_KEYS, TASK_PROBES = 200_000, 400_000
+#: Shards with several copies: a task answers more probes rather than that there are more of these.
+MANY = 200_000
+#: The keeper of a line that only rows without an id hold.
+NOBODY = -(1 << 63)
 _LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACES)), ASCII_UPPER, ASCII_LOWER)
+def key_of(line: str) -> str:
+    x = line.strip(SPACES)
+    return x.lower() if x.isascii() else x.translate(_LOWER)
+
+
+def digest(key: str) -> bytes:
+    return xxhash.xxh3_128_digest(key.encode())
 
 
 class PerfectHash:
@@ -86,106 +94,132 @@ class PerfectHash:
         return cls(bits, np.frombuffer(data, np.uint64, int(head[-1]), at))
 
 
-def _halves(hashes: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2)
+def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id and the hash (128 bits, as two longs) of every different key of ``min_chars`` or more in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in byte_slices(whole, "text"):
+                of_text = [{digest(k) for x in t.split("\n") if len(k := key_of(x)) >= min_chars} for t in b.column("text").to_pylist()]
+                both = np.frombuffer(b"".join(h for s in of_text for h in s), np.int64).reshape(-1, 2)
+                of = np.repeat(np.arange(len(of_text)), [len(s) for s in of_text])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "h1", "h2"])
+
+    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long")
+
+
+def _longs(pdf: pd.DataFrame, name: str) -> np.ndarray:
+    return pdf[name].to_numpy(np.int64, na_value=0).view(np.uint64)
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard: the perfect hash over the first half of the line hashes, and arrays in its order."""
-    both = _halves(pdf["line"])
-    keys, first = np.unique(both[:, 0], return_index=True)
+    """One shard: the perfect hash over the first half of the line hashes, and arrays in its order.
+
+    The fingerprint is the second half. Of lines that share the first half (64 bits) the first is in the arrays, the
+    others are whole rows of ``extra``.
+    """
+    h1, h2 = _longs(pdf, "h1"), _longs(pdf, "h2")
+    count, keeper = pdf["n_docs"].to_numpy(np.int64), pdf["keeper"].to_numpy(np.int64, na_value=NOBODY)
+    keys, first = np.unique(h1, return_index=True)
     hashed = PerfectHash.build(keys)
     place = hashed.index(keys)
-    arrays = {"print": np.zeros(len(keys), np.uint64), "count": np.zeros(len(keys), np.int64), "keeper": np.zeros(len(keys), np.int64)}
-    arrays["print"][place] = both[first, 1]
-    arrays["count"][place] = pdf["n_docs"].to_numpy()[first]
-    arrays["keeper"][place] = pdf["keeper"].to_numpy()[first]
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "hash": [hashed.to_bytes()], **{k: [v.tobytes()] for k, v in arrays.items()}})
+    arrays = {}
+    for name, values in (("print", h2), ("count", count), ("keeper", keeper)):
+        arrays[name] = np.zeros(len(keys), values.dtype)
+        arrays[name][place] = values[first]
+    more = np.setdiff1d(np.arange(len(h1)), first)
+    extra = np.stack([h1[more].view(np.int64), h2[more].view(np.int64), count[more], keeper[more]], 1)
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "hash": [hashed.to_bytes()], **{k: [v.tobytes()] for k, v in arrays.items()}, "extra": [extra.tobytes()]})
 
 
-def _probe(probes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-    """The probes whose line is in the shard and kept by another document."""
+def _probe(probes: pd.DataFrame, shard: pd.DataFrame, min_docs: int = MIN_DOCS) -> pd.DataFrame:
+    """The probes whose line has a count of ``min_docs`` or more in the shard and another document as its keeper."""
     if not len(probes) or not len(shard):
-        return pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "line": pd.Series([], dtype=object)})
+        return pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "h1": pd.Series([], dtype="int64"), "h2": pd.Series([], dtype="int64")})
     s = shard.iloc[0]
-    hashed = PerfectHash.from_bytes(s["hash"])
-    prints, keeper = np.frombuffer(s["print"], np.uint64), np.frombuffer(s["keeper"], np.int64)
-    both = _halves(probes["line"])
-    at = hashed.index(np.ascontiguousarray(both[:, 0]))
-    known = (at >= 0) & (prints[np.maximum(at, 0)] == both[:, 1])
+    prints, count, keeper = np.frombuffer(s["print"], np.uint64), np.frombuffer(s["count"], np.int64), np.frombuffer(s["keeper"], np.int64)
+    h1, h2 = _longs(probes, "h1"), _longs(probes, "h2")
+    at = PerfectHash.from_bytes(s["hash"]).index(h1)
+    known, at = at >= 0, np.maximum(at, 0)
+    known &= prints[at] == h2
+    often, owner = known & (count[at] >= min_docs), keeper[at]
+    for a, b, n, k in np.frombuffer(s["extra"], np.int64).reshape(-1, 4):
+        same = (h1.view(np.int64) == a) & (h2.view(np.int64) == b)
+        often, owner = np.where(same, n >= min_docs, often), np.where(same, k, owner)
     ids = probes["doc_id"].astype("Int64")
-    lost = known & (ids.isna().to_numpy() | (ids.fillna(0).to_numpy(np.int64) != keeper[np.maximum(at, 0)]))
-    return pd.DataFrame({"doc_id": ids[lost], "line": probes["line"][lost]})
+    lost = often & (owner != NOBODY) & (ids.isna().to_numpy() | (ids.fillna(0).to_numpy(np.int64) != owner))
+    return pd.DataFrame({"doc_id": ids[lost], "h1": h1[lost].view(np.int64), "h2": h2[lost].view(np.int64)})
 
 
 def lost_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, lost: the hashes (128 bits) of the lines that each document loses; only documents that lose some.
 
-    Lines are counted by hash with map-side aggregation, so a line that most documents hold costs a row per task. The
-    lines found often enough go to shards of bounded size; a shard that a hot line loads gets as many copies as its
-    number of probes asks for, and documents are dealt to the copies by id.
+    Line hashes are written once. They are counted with map-side aggregation, so a line that most documents hold costs a
+    row per task, and all different lines go with their counts to shards of bounded size, each a perfect hash with arrays.
+    The written hashes probe these arrays. A shard that hot lines load gets as many copies as its number of probes asks
+    for, and documents are dealt to the copies by id; only the shards with several copies, MANY at most, are broadcast.
     """
-    spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    key = line_key(F.col("line"))
-    lines = (
-        read.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-        .select("doc_id", key.alias("key")).filter(F.length("key") >= min_chars)
-        .select("doc_id", F.unhex(F.md5(F.col("key").cast("binary"))).alias("line"))
-    )
-    seen = Observation()
-    of_doc = lines.distinct()
-    counted = of_doc.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).observe(seen, F.sum("n_docs").alias("probes"))
-    often = materialise(counted.filter((F.col("n_docs") >= min_docs) & F.col("keeper").isNotNull()))
-    n, probes = often.count(), seen.get["probes"] or 0
-    n_shards = max(1, math.ceil(n / SHARD_KEYS))
-    shard = F.pmod(F.xxhash64("line"), F.lit(n_shards)).cast("int")
-    loads = often.groupBy(shard.alias("shard")).agg(F.sum("n_docs").alias("hits"))
-    copies = F.ceil((F.coalesce(F.col("hits"), F.lit(0)) + probes / n_shards) / TASK_PROBES).cast("int")
-    loads = loads.select("shard", F.greatest(copies, F.lit(1)).alias("copies"))
-    dealt = loads.select(F.col("shard").alias("dealt_shard"), F.col("copies").alias("dealt_copies"))
-    index = often.withColumn("shard", shard).groupBy("shard").applyInPandas(_build, "shard int, hash binary, print binary, count binary, keeper binary")
-    index = index.join(loads, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    asked = of_doc.withColumn("to_shard", shard).join(F.broadcast(dealt), F.col("to_shard") == F.col("dealt_shard"))  # a row per SHARD_KEYS frequent lines
-    asked = asked.select("to_shard", F.pmod(F.xxhash64("doc_id"), F.col("dealt_copies")).cast("int").alias("to_copy"), "doc_id", "line")
-    found = asked.groupBy("to_shard", "to_copy").cogroup(index.groupBy("shard", "copy")).applyInPandas(_probe, "doc_id long, line binary")
-    return found.groupBy("doc_id").agg(F.collect_set("line").alias("lost"))
-
-
-_TRIM = re.compile(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$")
+    of_doc = line_hashes(read, min_chars)
+    if read.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        of_doc = of_doc.distinct()  # rows that share an id are one document
+    of_doc = materialise(of_doc)
+    probes = of_doc.count()
+    n_shards = max(1, math.ceil(probes / SHARD_KEYS))
+    shard = F.pmod(F.xxhash64("h1", "h2"), F.lit(n_shards)).cast("int")
+    counted = materialise(of_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).withColumn("shard", shard))
+    task = max(TASK_PROBES, math.ceil(probes / MANY))
+    loads = counted.groupBy("shard").agg(F.sum("n_docs").alias("hits")).filter(F.col("hits") > task)
+    hot = materialise(loads.select(F.col("shard").alias("hot"), F.ceil(F.col("hits") / task).cast("int").alias("copies")))
+    index = counted.groupBy("shard").applyInPandas(_build, "shard int, hash binary, print binary, count binary, keeper binary, extra binary")
+    copies = F.coalesce("copies", F.lit(1))
+    index = index.join(F.broadcast(hot), F.col("shard") == F.col("hot"), "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    asked = of_doc.withColumn("to_shard", shard).join(F.broadcast(hot), F.col("to_shard") == F.col("hot"), "left")
+    asked = asked.select("to_shard", F.pmod(F.xxhash64("doc_id"), copies).cast("int").alias("to_copy"), "doc_id", "h1", "h2")
+
+    def answer(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        return _probe(asked, shard, min_docs)
+
+    found = asked.groupBy("to_shard", "to_copy").cogroup(index.drop("hot", "copies").groupBy("shard", "copy")).applyInPandas(answer, "doc_id long, h1 long, h2 long")
+    return found.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("h1", "h2"))).alias("lost"))
 
 
 def _keep(text: str, lost: set[bytes], min_chars: int) -> tuple[int, int, str]:
     lines = text.split("\n")
     if not lost:
         return len(lines), 0, text
-    kept = [x for x in lines if len(k := x.strip(SPACES).translate(_LOWER)) < min_chars or hashlib.md5(k.encode()).digest() not in lost]
+    kept = [x for x in lines if len(k := key_of(x)) < min_chars or digest(k) not in lost]
     return len(lines), len(lines) - len(kept), "\n".join(kept)
 
 
+def _hashes(flat: list[int] | None) -> set[bytes]:
+    raw = np.array(flat or [], np.int64).tobytes()
+    return {raw[i : i + 16] for i in range(0, len(raw), 16)}
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, text (kept lines), n_lines, n_dropped and the other columns of ``docs``, for every row.
+    """The columns of ``docs`` with text as the kept lines, then n_lines and n_dropped; a row for every row of ``docs``.
 
     A line whose key (stripped, A-Z lowered) has at least ``min_chars`` code points and is in at least ``min_docs``
     documents stays only in the largest doc_id that holds it; copies of it within that document stay too. A null or
-    empty text is one empty line. Rows that share an id are one document; a null id is one document, never the largest.
-    Columns of the input named n_lines or n_dropped are replaced.
+    empty text is one empty line, an empty table gives no rows. Rows that share an id are one document, each with its own
+    row of the result; a null id is one document, never the largest. Columns of the input named n_lines or n_dropped are
+    replaced; others keep their names, whatever they are.
     """
     small_batches(docs.sparkSession)
-    lost = lost_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("__id"), F.col("lost").alias("__lost"))
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text")]
-    whole = docs.select(*[F.col(f"`{c}`") for c in own], text_of().alias("text"))
-    joined = whole.join(lost.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
-    fields = whole.schema.fields
-    schema = StructType([*fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    lost = lost_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("of"), "lost")
+    own = [f for f in docs.schema.fields if f.name.lower() not in ("n_lines", "n_dropped", "text")]
+    read = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"), F.struct(F.lit(0).alias("none"), *[column(f.name) for f in own]).alias("own"))
+    joined = read.join(lost, F.col("id").eqNullSafe(F.col("of")), "left").select("text", "own", "lost")
+    schema = StructType([*own, StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in byte_slices(big, "text"):
-                rows = [_keep(t, set(x or ()), min_chars) for t, x in zip(b.column("text").to_pylist(), b.column("__lost").to_pylist(), strict=True)]
+                rows = [_keep(t, _hashes(x), min_chars) for t, x in zip(b.column("text").to_pylist(), b.column("lost").to_pylist(), strict=True)]
                 n, d, t = (pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True))
-                cols = [t if f.name == "text" else b.column(f.name) for f in fields]
-                yield pa.RecordBatch.from_arrays([*cols, n, d], [*[f.name for f in fields], "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([*b.column("own").flatten()[1:], t, n, d], names)
 
     return joined.mapInArrow(run, schema)
 

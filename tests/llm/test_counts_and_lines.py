@@ -82,6 +82,41 @@ def test_line_dedup_with_shards_and_copies(docs, rows, monkeypatch):
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs).collect()) == brute_lines(rows)
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = "this very line is in three documents"
+    rows = [(i, f"{line}\nown {i}", i, i, i, i) for i in range(3)] + [(None, line, 7, 7, 7, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__lost` long, `a.b` long, of long, `own` long")
+    out = line_dedup.dedup_lines(docs)
+    assert sorted((str(r[0]), r["__lost"], r["a.b"], r["of"], r["own"], r["text"]) for r in out.collect()) == [
+        ("0", 0, 0, 0, 0, "own 0"), ("1", 1, 1, 1, 1, "own 1"), ("2", 2, 2, 2, 2, f"{line}\nown 2"), ("None", 7, 7, 7, 7, "")]
+
+
+def shard_of(rows):
+    import pandas as pd
+
+    return line_dedup._build(pd.DataFrame(rows, columns=["h1", "h2", "n_docs", "keeper"]).assign(shard=0))
+
+
+def probed(shard, probes):
+    import pandas as pd
+
+    return [tuple(map(int, r)) for r in line_dedup._probe(pd.DataFrame(probes, columns=["doc_id", "h1", "h2"]), shard).itertuples(index=False)]
+
+
+def test_documents_lose_what_the_count_array_says():
+    shard = shard_of([(5, 50, 3, 9), (6, 60, 2, 9), (7, 70, 4, 1)])
+    probes = [(1, 5, 50), (9, 5, 50), (1, 6, 60), (1, 7, 70), (2, 7, 70), (1, 8, 80), (1, 5, 51)]
+    assert probed(shard, probes) == [(1, 5, 50), (2, 7, 70)]
+    counts = np.frombuffer(shard["count"][0], np.int64)
+    shard["count"] = [(5 - counts).tobytes()]  # 3, 2, 4 become 2, 3, 1
+    assert probed(shard, probes) == [(1, 6, 60)]
+
+
+def test_lines_that_share_half_a_hash_are_both_known():
+    shard = shard_of([(5, 50, 3, 9), (5, 51, 4, 8), (5, 52, 2, 8), (-6, -60, 3, 9)])
+    assert probed(shard, [(1, 5, 50), (1, 5, 51), (8, 5, 51), (1, 5, 52), (1, -6, -60)]) == [(1, 5, 50), (1, 5, 51), (1, -6, -60)]
+
+
 def test_perfect_hash_round_trip():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64)
     h = line_dedup.PerfectHash.from_bytes(line_dedup.PerfectHash.build(keys).to_bytes())
