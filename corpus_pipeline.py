@@ -11,17 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import decontam, line_dedup, mixing, near_dup, quality_mil
-from keyloom.llm.common import documents, materialise
+from keyloom.llm.common import column, documents, materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; the labels table is what it learns from."""
-    return quality_mil.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*docs.columns)
+    return quality_mil.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*map(column, docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more hold stay in one; n_chars follows the text that is left."""
-    kept = line_dedup.dedup_lines(docs).select(*docs.columns)
+    kept = line_dedup.dedup_lines(docs).select(*map(column, docs.columns))
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
