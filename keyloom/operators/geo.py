@@ -10,44 +10,42 @@ RADIUS = 6372797.560856
 UNITS = {"M": 1.0, "KM": 1000.0, "FT": 0.3048, "MI": 1609.34}
 LAT_LIMIT = 85.05112878
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
-_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+#: Cells along each axis.
+SCALE = float(1 << 26)
+BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
 def _spread(x: Column) -> Column:
-    """The bits of a 26-bit number, each followed by a free one."""
-    for shift, mask in _SPREAD:
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+    """The bits of a number, each followed by a free one: its binary digits read in base 4."""
+    return F.conv(F.bin(x), 4, 10).cast("long")
 
 
-def _squeeze(x: Column) -> Column:
-    x = x.bitwiseAND(F.lit(_SPREAD[-1][1]))
-    masks = [m for _, m in _SPREAD[::-1][1:]] + [0x00000000FFFFFFFF]
-    for (shift, _), mask in zip(_SPREAD[::-1], masks, strict=True):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+def steps(lon: Column, lat: Column, lat_limit: float = LAT_LIMIT) -> tuple[Column, Column]:
+    """The position of a point's cell along both axes (26 bits each)."""
+    return F.floor((lon + 180.0) / 360.0 * SCALE).cast("long"), F.floor((lat + lat_limit) / (2 * lat_limit) * SCALE).cast("long")
+
+
+def middle(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of the middle of a cell."""
+    return (x + 0.5) / SCALE * 360.0 - 180.0, (y + 0.5) / SCALE * (2 * LAT_LIMIT) - LAT_LIMIT
 
 
 def encode(lon: Column, lat: Column, lat_limit: float = LAT_LIMIT) -> Column:
     """26 bits of latitude and longitude, interleaved, longitude in the higher bit of each pair."""
-    scale = float(1 << 26)
-    y = F.floor((lat + lat_limit) / (2 * lat_limit) * scale).cast("long")
-    x = F.floor((lon + 180.0) / 360.0 * scale).cast("long")
-    return _spread(y).bitwiseOR(F.shiftleft(_spread(x), 1))
+    x, y = steps(lon, lat, lat_limit)
+    return _spread(y) + 2 * _spread(x)
 
 
 def decode(cell: Column) -> tuple[Column, Column]:
-    """Longitude and latitude of the middle of a cell."""
-    scale = float(1 << 26)
-    x, y = _squeeze(F.shiftrightunsigned(cell, 1)), _squeeze(cell)
-    return (x + 0.5) / scale * 360.0 - 180.0, (y + 0.5) / scale * (2 * LAT_LIMIT) - LAT_LIMIT
+    """Longitude and latitude of the middle of a cell: a base 4 digit holds a bit of each."""
+    axis = lambda bits: F.conv(F.translate(F.conv(cell.cast("string"), 10, 4), "0123", bits), 2, 10).cast("long")
+    return middle(axis("0011"), axis("0101"))
 
 
 def geohash(lon: Column, lat: Column) -> Column:
     """The standard geohash of 11 characters; the last one, which 52 bits don't reach, is the alphabet's first."""
-    cell = encode(lon, lat, 90.0)
-    signs = [F.substring(F.lit(ALPHABET), F.shiftrightunsigned(cell, 52 - 5 * (k + 1)).bitwiseAND(31).cast("int") + 1, F.lit(1)) for k in range(10)]
-    return F.concat(*signs, F.lit("0"))
+    signs = F.conv(F.shiftright(encode(lon, lat, 90.0), 2).cast("string"), 10, 32)
+    return F.concat(F.translate(F.lpad(signs, 10, "0"), BASE32, ALPHABET), F.lit("0"))
 
 
 def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -57,10 +55,13 @@ def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
 
 
 def stored(points: DataFrame) -> DataFrame:
-    """GEOADD: (key, member, cell), with the position that the cell keeps."""
-    cells = points.select("key", "member", encode(F.col("lon"), F.col("lat")).alias("cell"))
-    lon, lat = decode(F.col("cell"))
-    return cells.withColumn("lon", lon).withColumn("lat", lat)
+    """GEOADD: (key, member, cell), with the position that the cell keeps.
+
+    The position comes from the steps along the axes, not from the cell's bits, so a condition on it stays plain
+    arithmetic wherever it is pushed to.
+    """
+    lon, lat = middle(*steps(F.col("lon"), F.col("lat")))
+    return points.select("key", "member", encode(F.col("lon"), F.col("lat")).alias("cell"), lon.alias("lon"), lat.alias("lat"))
 
 
 def within(places: DataFrame, lon: float, lat: float, radius: float, unit: str = "M") -> DataFrame:

@@ -40,12 +40,23 @@ def geodist(t):
     return both.select("key", "a", F.col("member").alias("b"), F.round(G.distance(F.col("alon"), F.col("alat"), F.col("lon"), F.col("lat")) / 1000.0, 3).alias("km"))
 
 
-@query("geohash")
+#: In SQL, the bits of a cell whose latitude runs from -90 to 90, five at a time.
+_HASH = " || ".join(f"substr('{G.ALPHABET}', ((cell >> {52 - 5 * (k + 1)}) & 31)::INTEGER + 1, 1)" for k in range(10))
+
+
+@query("geohash", f"WITH {CELLS}, h AS (SELECT key, member, floor((lat + 90.0) / 180.0 * 67108864)::BIGINT AS y, floor((lon + 180.0) / 360.0 * 67108864)::BIGINT AS x FROM p), i AS (SELECT key, member, {BITS} AS cell FROM h) SELECT key, member, {_HASH} || '0' AS hash FROM i")
 def geohash(t):
     p = places(t)
     return p.select("key", "member", G.geohash(F.col("lon"), F.col("lat")).alias("hash"))
 
 
+@query("geo_decode", f"WITH {CELLS} SELECT key, member, round(lon, 6) AS lon, round(lat, 6) AS lat FROM p")
+def geo_decode(t):
+    """The positions that the stored cells alone give back."""
+    lon, lat = G.decode(F.col("cell"))
+    return places(t).select("key", "member", "cell").select("key", "member", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
 _RADIUS = f"WITH {CELLS}, d AS (SELECT key, member, {dist('10.0', '40.0', 'lon', 'lat')} AS m FROM p)"
 for _name in ("georadius", "georadius_ro"):
 
@@ -69,6 +80,18 @@ def geosearchstore(t):
     return G.within(places(t), 10.0, 40.0, 2000.0, "KM").select(F.lit("dst").alias("key"), "member", F.round("dist", 3).alias("score"))
 
 
+@query("geosearchstore_cells", f"WITH {CELLS}, d AS (SELECT *, {BITS} AS cell, {dist('10.0', '40.0', 'lon', 'lat')} AS m FROM p) SELECT 'dst' AS key, member, cell AS score FROM d WHERE m <= 2000000.0")
+def geosearchstore_cells(t):
+    """Without STOREDIST the score is the cell."""
+    return G.within(places(t), 10.0, 40.0, 2000.0, "KM").select(F.lit("dst").alias("key"), "member", F.col("cell").alias("score"))
+
+
+@query("georadius_with", f"WITH {CELLS}, d AS (SELECT *, {BITS} AS cell, {dist('10.0', '40.0', 'lon', 'lat')} AS m FROM p) SELECT key, member, round(m / 1000, 3) AS dist, cell, round(lon, 6) AS lon, round(lat, 6) AS lat FROM d WHERE m <= 2000000.0")
+def georadius_with(t):
+    """WITHDIST WITHHASH WITHCOORD."""
+    return G.within(places(t), 10.0, 40.0, 2000.0, "KM").select("key", "member", F.round("dist", 3).alias("dist"), "cell", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
 _MEMBERS = f"WITH {CELLS} SELECT a.key, a.member AS center, b.member, round({dist('a.lon', 'a.lat', 'b.lon', 'b.lat')} / 1000, 3) AS dist FROM p a JOIN p b ON a.key = b.key WHERE a.member LIKE 'c2%' AND {dist('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 1000000"
 for _name in ("georadiusbymember", "georadiusbymember_ro"):
 
