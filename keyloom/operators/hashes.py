@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from keyloom.operators.keys import millis_left, seconds_left, set_deadline
 
 
+def live(h: DataFrame, now_ms: int) -> DataFrame:
+    """The fields that have not expired: every read and every update starts from these, as if the others were not there."""
+    return h.filter(F.col("field_expire_ms").isNull() | (F.col("field_expire_ms") > now_ms))
+
+
 def upsert(h: DataFrame, new: DataFrame, only_new: bool = False) -> DataFrame:
     """HSET (HSETNX): the last value of each (key, field) of the log ``new`` (key, field, seq, value); HSET drops a field's deadline.
 
@@ -49,6 +54,5 @@ def expire_fields(h: DataFrame, fields: list[str], at_ms: int, condition: str |
 
 def time_left(h: DataFrame, now_ms: int, unit: str = "s") -> DataFrame:
     """-1 without a deadline; expired fields have no row."""
-    alive = h.filter(F.col("field_expire_ms").isNull() | (F.col("field_expire_ms") > now_ms))
     left = (seconds_left if unit == "s" else millis_left)(F.col("field_expire_ms"), now_ms)
-    return alive.select("key", "field", left.alias("left"))
+    return live(h, now_ms).select("key", "field", left.alias("left"))

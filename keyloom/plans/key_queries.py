@@ -9,33 +9,39 @@ from keyloom.operators import sets, strings
 from keyloom.plans.registry import NOW_MS, query
 
 LIVE = f"(expire_ms IS NULL OR expire_ms > {NOW_MS})"
+#: In SQL, the keys that show.
+SHOWN = f"(SELECT * FROM kv_string WHERE {LIVE})"
 GONE = "g AS (SELECT concat('cust:', o_custkey) AS key FROM orders WHERE o_orderstatus = 'F')"
 
 
+def live(t):
+    return strings.live(t.kv_string, NOW_MS)
+
+
 def gone(t):
     return t.orders.filter("o_orderstatus = 'F'").select(F.concat(F.lit("cust:"), "o_custkey").alias("key"))
 
 
 for _name in ("del", "unlink"):
 
-    @query(_name, f"WITH {GONE} SELECT key, value, expire_ms FROM kv_string WHERE key NOT IN (SELECT key FROM g)")
+    @query(_name, f"WITH {GONE} SELECT key, value, expire_ms FROM {SHOWN} WHERE key NOT IN (SELECT key FROM g)")
     def _delete(t):
-        return K.delete(t.kv_string, gone(t))
+        return K.delete(live(t), gone(t))
 
 
 for _name in ("exists", "touch"):
 
     @query(_name, f"WITH {GONE} SELECT count(*) AS n FROM g WHERE key IN (SELECT key FROM kv_string WHERE {LIVE})")
     def _exists(t):
-        return K.count_existing(strings.live(t.kv_string, NOW_MS), gone(t))
+        return K.count_existing(live(t), gone(t))
 
 
-TYPES = "c AS (SELECT key, 'string' AS type FROM kv_string UNION ALL SELECT DISTINCT key, 'hash' FROM (SELECT concat('h:', key) AS key FROM kv_hash) UNION ALL SELECT DISTINCT key, 'list' FROM kv_list UNION ALL SELECT DISTINCT key, 'set' FROM kv_set UNION ALL SELECT DISTINCT key, 'zset' FROM kv_zset)"
+TYPES = f"c AS (SELECT key, 'string' AS type FROM {SHOWN} UNION ALL SELECT DISTINCT key, 'hash' FROM (SELECT concat('h:', key) AS key FROM kv_hash) UNION ALL SELECT DISTINCT key, 'list' FROM kv_list UNION ALL SELECT DISTINCT key, 'set' FROM kv_set UNION ALL SELECT DISTINCT key, 'zset' FROM kv_zset)"
 
 
 def catalog(t):
     hashes = t.kv_hash.select(F.concat(F.lit("h:"), "key").alias("key"))
-    parts = [t.kv_string.select("key", F.lit("string").alias("type"))]
+    parts = [live(t).select("key", F.lit("string").alias("type"))]
     parts += [d.select("key").distinct().withColumn("type", F.lit(k)) for d, k in ((hashes, "hash"), (t.kv_list, "list"), (t.kv_set, "set"), (t.kv_zset, "zset"))]
     out = parts[0]
     for p in parts[1:]:
@@ -53,34 +59,34 @@ def dbsize(t):
     return catalog(t).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("keys", "SELECT DISTINCT key FROM kv_string WHERE regexp_matches(key, '^cust:[1-3].*7$')")
+@query("keys", f"SELECT DISTINCT key FROM {SHOWN} WHERE regexp_matches(key, '^cust:[1-3].*7$')")
 def keys(t):
-    return K.matching(t.kv_string, "cust:[1-3]*7")
+    return K.matching(live(t), "cust:[1-3]*7")
 
 
-@query("scan", "SELECT key, cursor FROM (SELECT key, ('0x' || substr(md5(key), 1, 12))::BIGINT AS cursor FROM kv_string ORDER BY 2, 1 LIMIT 50) WHERE key LIKE 'cust:1%'")
+@query("scan", f"SELECT key, cursor FROM (SELECT key, ('0x' || substr(md5(key), 1, 12))::BIGINT AS cursor FROM {SHOWN} ORDER BY 2, 1 LIMIT 50) WHERE key LIKE 'cust:1%'")
 def scan(t):
-    return sets.scan(t.kv_string.select("key"), "key", None, 50, "cust:1*")
+    return sets.scan(live(t).select("key"), "key", None, 50, "cust:1*")
 
 
-@query("randomkey", "SELECT key FROM kv_string ORDER BY md5(key), key LIMIT 1")
+@query("randomkey", f"SELECT key FROM {SHOWN} ORDER BY md5(key), key LIMIT 1")
 def randomkey(t):
-    return t.kv_string.select("key").orderBy(F.md5(F.col("key").cast("binary")), "key").limit(1)
+    return live(t).select("key").orderBy(F.md5(F.col("key").cast("binary")), "key").limit(1)
 
 
-@query("rename", "SELECT CASE WHEN key = 'cust:1' THEN 'cust:2' ELSE key END AS key, value, expire_ms FROM kv_string WHERE key <> 'cust:2'")
+@query("rename", f"SELECT CASE WHEN key = 'cust:3' THEN 'cust:6' ELSE key END AS key, value, expire_ms FROM {SHOWN} WHERE key <> 'cust:6'")
 def rename(t):
-    return K.rename(t.kv_string, "cust:1", "cust:2")
+    return K.rename(live(t), "cust:3", "cust:6")
 
 
-@query("renamenx", "SELECT CASE WHEN key = 'cust:1' THEN 'fresh' ELSE key END AS key, value, expire_ms FROM kv_string")
+@query("renamenx", f"SELECT CASE WHEN key = 'cust:3' THEN 'fresh' ELSE key END AS key, value, expire_ms FROM {SHOWN}")
 def renamenx(t):
-    return K.rename(t.kv_string, "cust:1", "fresh", only_if_free=True)
+    return K.rename(live(t), "cust:3", "fresh", only_if_free=True)
 
 
-@query("copy", "SELECT key, value, expire_ms FROM kv_string WHERE key <> 'cust:2' UNION ALL SELECT 'cust:2', value, expire_ms FROM kv_string WHERE key = 'cust:1'")
+@query("copy", f"SELECT key, value, expire_ms FROM {SHOWN} WHERE key <> 'cust:6' UNION ALL SELECT 'cust:6', value, expire_ms FROM {SHOWN} WHERE key = 'cust:3'")
 def copy(t):
-    return K.copy(t.kv_string, "cust:1", "cust:2")
+    return K.copy(live(t), "cust:3", "cust:6")
 
 
 @query("sort", "SELECT value FROM (SELECT cast(c_acctbal AS VARCHAR) AS value FROM customer) ORDER BY value::DOUBLE, value LIMIT 20 OFFSET 5")
@@ -100,34 +106,34 @@ for _name, _how in (("expire", None), ("expire_nx", "NX"), ("expire_xx", "XX"),
     _step = NEW["pexpire" if _name.startswith("p") else "expire"]
     _at = f"{'' if _name.endswith('at') else NOW_MS}{'4000000' if _name.endswith('at') else ''} + {_step}"
 
-    @query(_name, f"SELECT key, ({_RULE[_how]})::BIGINT AS expire_ms FROM (SELECT *, {_at} AS new FROM kv_string)")
+    @query(_name, f"SELECT key, ({_RULE[_how]})::BIGINT AS expire_ms FROM (SELECT *, {_at} AS new FROM {SHOWN})")
     def _expire(t, _at=_at, _how=_how):
-        return t.kv_string.select("key", K.set_deadline(F.col("expire_ms"), F.expr(_at).cast("long"), _how).cast("long").alias("expire_ms"))
+        return live(t).select("key", K.set_deadline(F.col("expire_ms"), F.expr(_at).cast("long"), _how).cast("long").alias("expire_ms"))
 
 
 @query("ttl", f"SELECT key, CASE WHEN expire_ms IS NULL THEN -1 ELSE floor((expire_ms - {NOW_MS} + 500) / 1000) END::BIGINT AS ttl FROM kv_string WHERE {LIVE}")
 def ttl(t):
-    return strings.live(t.kv_string, NOW_MS).select("key", K.seconds_left(F.col("expire_ms"), NOW_MS).alias("ttl"))
+    return live(t).select("key", K.seconds_left(F.col("expire_ms"), NOW_MS).alias("ttl"))
 
 
 @query("pttl", f"SELECT key, CASE WHEN expire_ms IS NULL THEN -1 ELSE expire_ms - {NOW_MS} END::BIGINT AS ttl FROM kv_string WHERE {LIVE}")
 def pttl(t):
-    return strings.live(t.kv_string, NOW_MS).select("key", K.millis_left(F.col("expire_ms"), NOW_MS).alias("ttl"))
+    return live(t).select("key", K.millis_left(F.col("expire_ms"), NOW_MS).alias("ttl"))
 
 
 @query("expiretime", f"SELECT key, CASE WHEN expire_ms IS NULL THEN -1 ELSE floor((expire_ms + 500) / 1000) END::BIGINT AS at FROM kv_string WHERE {LIVE}")
 def expiretime(t):
-    return strings.live(t.kv_string, NOW_MS).select("key", K.seconds_left(F.col("expire_ms"), 0).alias("at"))
+    return live(t).select("key", K.seconds_left(F.col("expire_ms"), 0).alias("at"))
 
 
 @query("pexpiretime", f"SELECT key, coalesce(expire_ms, -1)::BIGINT AS at FROM kv_string WHERE {LIVE}")
 def pexpiretime(t):
-    return strings.live(t.kv_string, NOW_MS).select("key", K.millis_left(F.col("expire_ms"), 0).alias("at"))
+    return live(t).select("key", K.millis_left(F.col("expire_ms"), 0).alias("at"))
 
 
 @query("persist", f"SELECT key, value, NULL::BIGINT AS expire_ms FROM kv_string WHERE {LIVE}")
 def persist(t):
-    return strings.live(t.kv_string, NOW_MS).select("key", "value", F.lit(None).cast("long").alias("expire_ms"))
+    return live(t).select("key", "value", F.lit(None).cast("long").alias("expire_ms"))
 
 
 for _name in ("flushall", "flushdb"):
@@ -137,12 +143,12 @@ for _name in ("flushall", "flushdb"):
         return t.kv_string.limit(0)
 
 
-@query("dump", "SELECT key, '{\"key\":\"' || key || '\",\"value\":\"' || value || '\"}' AS payload FROM kv_string")
+@query("dump", "SELECT key, '{\"key\":\"' || key || '\",\"value\":\"' || value || '\"}' AS payload FROM kv_string WHERE " + LIVE)
 def dump(t):
-    return t.kv_string.select("key", F.to_json(F.struct("key", "value")).alias("payload"))
+    return live(t).select("key", F.to_json(F.struct("key", "value")).alias("payload"))
 
 
-@query("restore", f"SELECT concat('copy:', key) AS key, value, {NOW_MS + 5000}::BIGINT AS expire_ms FROM kv_string")
+@query("restore", f"SELECT concat('copy:', key) AS key, value, {NOW_MS + 5000}::BIGINT AS expire_ms FROM {SHOWN}")
 def restore(t):
     parsed = F.from_json("payload", "key string, value string")
     return dump(t).select(F.concat(F.lit("copy:"), parsed["key"]).alias("key"), parsed["value"].alias("value"), F.lit(NOW_MS + 5000).cast("long").alias("expire_ms"))

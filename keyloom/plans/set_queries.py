@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from keyloom.operators import sets as S
 from keyloom.operators import zsets as Z
-from keyloom.plans.registry import query
+from keyloom.operators.hashes import live
+from keyloom.plans.registry import NOW_MS, query
 
 A, B, C = "1-URGENT", "2-HIGH", "3-MEDIUM"
 IN = "SELECT member FROM kv_set WHERE key = '{}'"
@@ -118,9 +119,9 @@ def zscan(t):
     return S.scan(t.kv_zset.filter("key = 'BUILDING'").select("member", "score"), "member", 100_000_000_000_000, 25)
 
 
-@query("hscan", f"SELECT field, value, cursor FROM (SELECT field, value, {CURSOR.format('field')} AS cursor FROM kv_hash WHERE key = 'cust:6') WHERE field LIKE '%a%' ORDER BY cursor LIMIT 10")
+@query("hscan", f"SELECT field, value, cursor FROM (SELECT field, value, {CURSOR.format('field')} AS cursor FROM kv_hash WHERE key = 'cust:20' AND (field_expire_ms IS NULL OR field_expire_ms > {NOW_MS})) WHERE field LIKE '%n%' ORDER BY cursor LIMIT 10")
 def hscan(t):
-    return S.scan(t.kv_hash.filter("key = 'cust:6'").select("field", "value"), "field", None, 10, "*a*")
+    return S.scan(live(t.kv_hash.filter("key = 'cust:20'"), NOW_MS).select("field", "value"), "field", None, 10, "*n*")
 
 
 @query("zset_of_set", f"SELECT key, member, 1.0::DOUBLE AS score FROM kv_set WHERE key = '{C}'")
