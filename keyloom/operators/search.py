@@ -35,22 +35,35 @@ def query_terms(text: str) -> list[str]:
     return list(dict.fromkeys(p for p in (x.strip(EDGES) for x in parts) if p))[:MAX_QUERY_TERMS]
 
 
+def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """doc_id, c: the text's number of tokens, then how often it has each term.
+
+    The tokens are the variable of an outer lambda and c comes out of a generator, so no rewrite of the plan splits a
+    text twice.
+    """
+    counts = lambda t: F.array(F.size(t), *[F.size(t) - F.size(F.array_remove(t, w)) for w in terms])
+    return docs.select("doc_id", F.explode_outer(F.transform(F.array(tokens(F.col("text"))), counts)).alias("c"))
+
+
 def bm25(docs: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """doc_id and score of every document that has a query term.
 
-    Only the query's terms are counted, in one pass over the texts: a document's tokens never leave its row, and what is
-    aggregated over documents is one row of counts.
+    Only the query's terms are counted: a document's tokens never leave its row, and what is aggregated over documents is
+    one row of counts. Each text is split once for the counts and once for the scores.
     """
     terms = query_terms(query)
-    t = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), *[(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(terms)])
-    counts = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    both = t.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(counts))  # one row of counts
+    if not terms:
+        return docs.limit(0).select("doc_id", F.lit(0.0).alias("score"))
+    t = term_counts(docs, terms)
+    length, tf = F.get("c", F.lit(0)), [F.get("c", F.lit(i + 1)) for i in range(len(terms))]
+    stats = t.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(length.cast("double")).alias("avgdl"), *[F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(tf)]).alias("s")).scalar()
+    found = t.filter(F.exists(F.slice("c", 2, len(terms)), lambda x: x > 0)).select("doc_id", "c", stats.alias("s"))
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.greatest("dl", F.lit(1)) / F.col("avgdl")))).otherwise(0.0)
-    return both.select("doc_id", score.alias("score"))
+    for i, x in enumerate(tf):
+        n, df = F.col("s.n"), F.col(f"s.df{i}")
+        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+        score = score + F.when(x > 0, idf * x * (k1 + 1) / (x + k1 * (1 - b + b * F.greatest(length, F.lit(1)) / F.col("s.avgdl")))).otherwise(0.0)
+    return found.select("doc_id", score.alias("score"))
 
 
 def top(rows: DataFrame, k: int, ascending: bool = False) -> DataFrame:
