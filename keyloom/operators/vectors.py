@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of query vectors that are broadcast at a time.
 QUERY_BYTES = 64 << 20
+#: Rows whose scores are held against the best so far at a time.
+CHUNK = 2048
 
 
 def norm(v: Column) -> Column:
@@ -48,7 +50,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     """query, element, score: the k nearest elements of every query, exact.
 
     The queries go to every partition of the rows in blocks of QUERY_BYTES; the rows are read once per block. A partition
-    multiplies its batches with all queries at once and passes on its own k best per query, so what is shuffled is k rows
+    multiplies its batches with all queries at once and keeps the k best so far of each, so what is shuffled is k rows
     per query and partition. metric: ``cosine`` gives (1 + cos) / 2, highest first; ``l2`` the squared distance and
     ``cos_dist`` 1 - cos, lowest first. Ties go to the smaller element.
     """
@@ -62,6 +64,20 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     return out.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
 
+def _merged(scores: np.ndarray, keys: np.ndarray, more: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k lowest of the scores so far and of the new ones, for all queries at once; ties to the smaller key."""
+    both = np.concatenate([scores, more], 1)
+    who = np.concatenate([keys, np.broadcast_to(names, more.shape)], 1)
+    rounded = np.round(both, 12)
+    if both.shape[1] > k:  # all that are as low as the k-th; ties beyond it are settled below
+        limit = np.partition(rounded, k - 1, axis=1)[:, k - 1 : k]
+        kept = [np.flatnonzero(r <= x) for r, x in zip(rounded, limit, strict=True)]
+    else:
+        kept = [np.arange(both.shape[1])] * len(both)
+    order = [i[np.lexsort((w[i], r[i]))[:k]] for i, r, w in zip(kept, rounded, who, strict=True)]
+    return np.stack([s[i] for s, i in zip(both, order, strict=True)]), np.stack([w[i] for w, i in zip(who, order, strict=True)])
+
+
 def _nearest_block(rows: DataFrame, block: tuple[list, np.ndarray], k: int, metric: str, element: str, vector: str) -> DataFrame:
     """The k best of every partition for each query of a block."""
     sent = rows.sparkSession.sparkContext.broadcast(block)
@@ -72,22 +88,21 @@ def _nearest_block(rows: DataFrame, block: tuple[list, np.ndarray], k: int, metr
         if not len(who):
             return
         unit = asked / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
-        best: list[pd.DataFrame] = []
+        scores = np.full((len(who), 0), np.inf)  # the best so far of every query, best first
+        keys = np.zeros((len(who), 0), object)
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
             if metric == "l2":
-                s = ((x * x).sum(1)[:, None] - 2 * x @ asked.T + (asked * asked).sum(1)).clip(min=0)
+                s = ((asked * asked).sum(1)[:, None] - 2 * asked @ x.T + (x * x).sum(1)).clip(min=0)
             else:
-                c = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ unit.T
-                s = (1 + c) / 2 if metric == "cosine" else 1 - c
-            keys = pdf[element].to_numpy()
-            for j, name in enumerate(who):
-                order = np.lexsort((keys, np.round(s[:, j] if low_first else -s[:, j], 12)))[:k]
-                best.append(pd.DataFrame({"query": name, "element": keys[order], "score": s[order, j]}))
-        if best:
-            yield pd.concat(best, ignore_index=True).astype({"query": object, "element": object})
+                c = unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                s = -(1 + c) / 2 if metric == "cosine" else 1 - c
+            for at in range(0, len(pdf), CHUNK):
+                scores, keys = _merged(scores, keys, s[:, at : at + CHUNK], pdf[element].to_numpy()[at : at + CHUNK], k)
+        if keys.size:
+            yield pd.DataFrame({"query": np.repeat(np.array(who, object), keys.shape[1]), "element": keys.ravel(), "score": scores.ravel() if low_first else -scores.ravel()})
 
     return rows.select(element, vector).mapInPandas(run, f"query string, element {rows.schema[element].dataType.simpleString()}, score double")
 
