@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import byte_slices, materialise, mix64, small_batches, span_hashes, text_of, utf8_buffer, word_spans
+from keyloom.llm.common import byte_slices, column, materialise, mix64, small_batches, span_hashes, text_of, utf8_buffer, word_spans
 from keyloom.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -21,8 +21,9 @@ COORDINATES, BANDS, ROWS = 256, 36, 7
 AGREE = 0.68
 #: Documents whose darts are thrown together: each gets about 2000, however short it is.
 TOGETHER = 128
-#: Center elections before what is left is compared within its buckets.
-ELECTIONS = 2
+#: Center elections before what is left is compared within its buckets, and how many there may be while a bucket of
+#: several classes has more than BOUND members and elections still find links.
+ELECTIONS, MOST_ELECTIONS, BOUND = 2, 8, 256
 _DART, _PLACE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -81,9 +82,11 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, sets: np.ndarray,
             s, r, h = (np.concatenate(x) for x in zip(*darts, strict=True))
             name = mix64(h + _DART)
             slot = s * k + (name % np.uint64(k)).astype(np.int64)
-            order = np.argsort(-r, kind="stable")  # the earliest is written last
+            earliest = np.full(n_sets * k, np.inf)
+            np.minimum.at(earliest, slot, r)
+            stays = r == earliest[slot]
             flat = np.zeros(n_sets * k, np.uint64)
-            flat[slot[order]] = name[order] | np.uint64(1)
+            flat[slot[stays]] = name[stays] | np.uint64(1)
             found = flat.reshape(n_sets, k)
             full = open_set & (found != 0).all(axis=1)
             out[full] = found[full]
@@ -148,6 +151,14 @@ def _likely(a: str, b: str, similar: float) -> Column:
     return (F.least(f"n_{a}", f"n_{b}") >= F.greatest(f"n_{a}", f"n_{b}") * similar) & (_agreement(f"sig_{a}", f"sig_{b}") >= AGREE)
 
 
+def _first_shared(a: str, b: str) -> Column:
+    """The first band whose hash two documents share."""
+    out = F.lit(BANDS)
+    for k in range(BANDS - 1, -1, -1):
+        out = F.when(F.get(a, F.lit(k)) == F.get(b, F.lit(k)), k).otherwise(out)
+    return out
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Those of the distinct pairs (a, b) whose shingle sets have the Jaccard similarity asked for."""
     side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"set_{n}"))
@@ -165,9 +176,10 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     Rows are in a class if a chain of links joins them; a link is a Jaccard similarity of at least ``similar`` between
     the sets of five-word shingles, or the same text. Exact copies are folded first, by a digest with map-side
     aggregation. Among different texts every band bucket elects a center by hash, and its members are compared with
-    the center whose signature agrees best; this is done ELECTIONS times, each time only for members that are not yet in
-    their center's class. What then still shares a bucket without sharing a class is compared within one join, as far
-    as sizes and signatures allow the similarity; only links leave that join.
+    the center whose signature agrees best; this is done ELECTIONS times or, while buckets of several classes are large
+    and links are found, up to MOST_ELECTIONS times, each time only for members that are not yet in their center's
+    class. What then still shares a bucket without sharing a class is compared within one join, as far as sizes and
+    signatures allow the similarity, in the first bucket that the two share; only links leave that join.
 
     Empty or null texts are copies of each other; texts under five words are one shingle. A repeated doc_id is one
     document, of the text with the smallest digest; a null doc_id is one document too, in no class (class_id null).
@@ -183,43 +195,41 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     members = materialise(of_doc.join(folded, "digest", "left").select("doc_id", "first", "n_copies", "rows"))
     firsts = members.select(F.col("first").alias("doc_id"), F.lit(True).alias("is_first")).filter("doc_id is not null").distinct()
     sigs = materialise(signatures(read).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    banded = sigs.filter("n_shingles > 0").select("doc_id", F.posexplode("bands").alias("band", "hash")).select("doc_id", F.xxhash64("band", "hash").alias("bucket"))
+    banded = sigs.filter("n_shingles > 0").select("doc_id", F.posexplode("bands").alias("band", "hash")).select("doc_id", "band", F.xxhash64("band", "hash").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = materialise(banded.join(shared, "bucket"))
     grouped = buckets.select("doc_id").distinct()
     sets = materialise(shingle_sets(read.join(grouped, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
     side = lambda n: sigs.select(F.col("doc_id").alias(n), F.col("sig").alias(f"sig_{n}"), F.col("n_shingles").alias(f"n_{n}"))
     links, known, tested = None, None, None
-    for turn in range(ELECTIONS + 1):
-        if known is None:
-            placed = buckets.withColumn("component", F.col("doc_id"))
-        else:
-            placed = buckets.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-            several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-            placed = placed.join(several, "bucket")
-        if turn < ELECTIONS:
-            center = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-            elected = placed.groupBy("bucket").agg(F.min(center).alias("c"))
-            met = placed.join(elected, "bucket").filter(F.col("component") != F.col("c.cx")).select(F.col("c.x").alias("x"), F.col("doc_id").alias("y")).distinct()
-            near = met.join(side("x"), "x").join(side("y"), "y").filter(_likely("x", "y", similar)).select("x", "y", _agreement("sig_x", "sig_y").alias("agree"))
-            met = near.groupBy("y").agg(F.max_by("x", F.struct("agree", "x")).alias("x"))
-        else:
-            whole = lambda n: side(n).join(sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"set_{n}")), n)
-            left = placed.select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx")).join(whole("x"), "x")
-            right = placed.select(F.col("bucket").alias("bucket_y"), F.col("doc_id").alias("y"), F.col("component").alias("cy")).join(whole("y"), "y")
-            rest = (F.col("cx") < F.col("cy")) & _likely("x", "y", similar) & _linked("set_x", "set_y", similar)
-            met = left.join(right, (F.col("bucket") == F.col("bucket_y")) & rest).select(F.col("x").alias("a"), F.col("y").alias("b"))
-            links = links.union(materialise(met.distinct()))
-            known = components(links)
-            break
+    placed, turn, largest, merged = buckets.withColumn("component", F.col("doc_id")), 0, 0, 1
+    while turn < ELECTIONS or (turn < MOST_ELECTIONS and largest > BOUND and merged):
+        center = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("x"), F.col("component").alias("cx"))
+        elected = placed.groupBy("bucket").agg(F.min(center).alias("c"))
+        met = placed.join(elected, "bucket").filter(F.col("component") != F.col("c.cx")).select(F.col("c.x").alias("x"), F.col("doc_id").alias("y")).distinct()
+        near = met.join(side("x"), "x").join(side("y"), "y").filter(_likely("x", "y", similar)).select("x", "y", _agreement("sig_x", "sig_y").alias("agree"))
+        met = near.groupBy("y").agg(F.max_by("x", F.struct("agree", "x")).alias("x"))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
         tested = pairs if tested is None else tested.union(pairs)
         found = materialise(_verified(pairs, sets, similar))
+        merged = found.limit(1).count()
         links = found if links is None else links.union(found)
         known = components(links)
+        placed = buckets.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        several = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("members")).filter("p <> q")
+        placed = materialise(placed.join(several.select("bucket", "members"), "bucket"))
+        largest = placed.agg(F.max("members")).first()[0] or 0
+        placed, turn = placed.drop("members"), turn + 1
+    # each pair is verified in the first bucket that it shares only
+    whole = lambda n: sigs.select(F.col("doc_id").alias(n), F.col("sig").alias(f"sig_{n}"), F.col("n_shingles").alias(f"n_{n}"), F.col("bands").alias(f"bands_{n}")).join(sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"set_{n}")), n)
+    left = placed.select("bucket", "band", F.col("doc_id").alias("x"), F.col("component").alias("cx")).join(whole("x"), "x")
+    right = placed.select(F.col("bucket").alias("bucket_y"), F.col("doc_id").alias("y"), F.col("component").alias("cy")).join(whole("y"), "y")
+    rest = (F.col("cx") < F.col("cy")) & _likely("x", "y", similar) & (_first_shared("bands_x", "bands_y") == F.col("band")) & _linked("set_x", "set_y", similar)
+    met = left.join(right, (F.col("bucket") == F.col("bucket_y")) & rest).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    known = components(links.union(materialise(met)))
     whole = members.join(known, members["first"] == known["node"], "left")
     of = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first"))
     return whole.select("doc_id", of.alias("class_id"), F.coalesce("n_copies", "rows").alias("n_copies"))
@@ -230,16 +240,17 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     Of rows that share an id the one with the smallest text digest stays (then with the smallest hash over all columns),
     which is the text that ``classes`` compares. Rows with a null id are documents by their text, after all that have an
-    id: of equal or near texts one row stays, and none if a row with an id has such a text.
+    id: of equal or near texts one row stays, and none if a row with an id has such a text. All empty texts are copies of
+    each other; an empty table has no rows; columns may have any names.
     """
     digest = F.unhex(F.md5(text_of().cast("binary")))
     last, without = docs.agg(F.max(F.col("doc_id").cast("long")), F.count_if(F.col("doc_id").isNull())).first()
-    own = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), digest.alias("digest"), text_of().alias("text"), F.struct(*[column(c) for c in docs.columns]).alias("row"))
     if without:
-        nameless = docs.filter(F.col("doc_id").isNull()).withColumn("__digest", digest)
-        numbered = materialise(nameless.select("__digest").distinct().withColumn("__id", F.monotonically_increasing_id() + F.lit(last or 0) + 1))
-        own = own.filter(F.col("doc_id").isNotNull()).unionByName(nameless.join(numbered, "__digest").drop("__digest"))
-    classed = classes(own.select(F.col("__id").alias("doc_id"), "text"), similar)
-    later = classed.filter(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias("__id"))
-    one = own.groupBy("__id").agg(F.min_by(F.struct(*docs.columns), F.struct(digest, F.xxhash64(*docs.columns))).alias("__row"))
-    return one.join(later, "__id", "left_anti").select("__row.*")
+        nameless = own.filter(F.col("id").isNull()).drop("id")
+        numbered = materialise(nameless.select("digest").distinct().withColumn("id", F.monotonically_increasing_id() + F.lit(last or 0) + 1))
+        own = own.filter(F.col("id").isNotNull()).unionByName(nameless.join(numbered, "digest"))
+    classed = classes(own.select(F.col("id").alias("doc_id"), "text"), similar)
+    later = classed.filter(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias("id"))
+    one = own.groupBy("id").agg(F.min_by("row", F.struct("digest", F.xxhash64("row"))).alias("row"))
+    return one.join(later, "id", "left_anti").select("row.*")
