@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import text_of, words_of
+from keyloom.llm.common import fresh, materialise, text_of, words_of
 
 SHINGLE, CONTAINED = 5, 0.8
-#: Item shingles broadcast at a time: larger benchmarks are searched in blocks of this many.
-BROADCAST_SHINGLES = 400_000
+#: Item shingles broadcast at a time (8 bytes each, and 24 for each of their sketch keys): larger benchmarks are searched
+#: in blocks of this many, and one item more at most.
+BROADCAST_SHINGLES = 1_000_000
 
 
 def shingles(words: Column, n: int = SHINGLE) -> Column:
@@ -35,11 +35,12 @@ def plain_words(text: Column) -> Column:
 
 
 def sketch(items: DataFrame, contained: float = CONTAINED, words: Callable[[Column], Column] = words_of) -> DataFrame:
-    """item_id, item_n, size_class, item_shingles, keys: the smallest hashes of each item.
+    """item_id, item_n, size_class, item_shingles, keys: a MinHash sketch (the smallest hashes) of each item.
 
-    Items are partitioned by size (powers of two). A document that holds ``contained`` of an item's n shingles misses
-    at most n - ceil(contained n) of them, so it holds one of any larger number: that many smallest hashes, counted for
-    the largest item of the size class, are a MinHash sketch that misses no match.
+    Items are partitioned by size (powers of two), and all sketches of a partition have one width. A document that holds
+    ``contained`` of an item's n shingles misses at most n - ceil(contained n) of them, so it holds one of any larger
+    number: that many smallest hashes, counted for the largest item of the partition, miss no match. Documents are looked
+    up with all their shingles: the smallest hashes of a long document need not be among a short item's.
     """
     own = items.select(F.col("item_id").cast("long").alias("item_id"), shingles(words(text_of())).alias("item_shingles"))
     own = own.filter(F.size("item_shingles") > 0).withColumn("item_n", F.size("item_shingles")).withColumn("size_class", F.floor(F.log2("item_n")).cast("int"))
@@ -72,31 +73,49 @@ def short_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return leaks(docs.limit(0), items.limit(0)) if found is None else found
 
 
+def _blocks(index: DataFrame) -> list[DataFrame]:
+    """The index in parts: items of BROADCAST_SHINGLES shingles, and one item more at most."""
+    sizes = index.groupBy("item_id").agg(F.sum("item_n").alias("n"))
+    if (sizes.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_SHINGLES:
+        return [index]
+    before = F.sum("n").over(Window.orderBy("item_id")) - F.col("n")  # two numbers per item of the benchmark
+    placed = materialise(sizes.select(F.col("item_id").alias("of"), F.floor(before / BROADCAST_SHINGLES).alias("block")))
+    names = [r[0] for r in placed.select("block").distinct().orderBy("block").collect()]
+    return [index.join(placed.filter(F.col("block") == x).select("of"), F.col("item_id") == F.col("of"), "left_semi") for x in names]
+
+
 def _search(of_text: Column, docs: DataFrame, index: DataFrame, contained: float) -> DataFrame:
-    n = index.agg(F.sum("item_n")).first()[0] or 0
-    blocks = max(1, math.ceil(n / BROADCAST_SHINGLES))
+    """The documents that hold enough of the items of an index (item_id, item_n, item_shingles, keys).
+
+    What is broadcast is a row per sketch key with the key before it, and every item's shingles once. A hit on a key
+    whose predecessor is in the document too is not the item's first one and goes; the others are verified.
+    """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), of_text.alias("s"))
     probes = read.select("doc_id", "s", F.explode_outer("s").alias("key"))  # outer: no filter on its size goes below
     found = None
-    for k in range(blocks):
-        block = index.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else index
-        keyed = block.select("item_id", "item_n", "item_shingles", F.explode("keys").alias("key"))
+    for block in _blocks(index):
+        keyed = block.select("item_id", F.explode(F.transform("keys", lambda x, i: F.struct(x.alias("key"), F.get("keys", i - 1).alias("before")))).alias("k")).select("item_id", "k.key", "k.before")
+        items = block.select("item_id", "item_n", "item_shingles")
+        hits = probes.join(F.broadcast(keyed), "key").filter(F.col("before").isNull() | ~F.array_contains("s", F.col("before")))
         shared = F.size(F.array_intersect("s", "item_shingles"))
-        hits = probes.join(F.broadcast(keyed), "key").select("doc_id", "item_id", "item_n", shared.alias("n_shared")).filter(F.col("n_shared") >= F.ceil(F.col("item_n") * F.lit(contained)))
-        found = hits if found is None else found.unionAll(hits)
+        verified = hits.join(F.broadcast(items), "item_id").select("doc_id", "item_id", "item_n", shared.alias("n_shared"))
+        verified = verified.filter(F.col("n_shared") >= F.ceil(F.col("item_n") * F.lit(contained)))
+        found = verified if found is None else found.unionAll(verified)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "item_n")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.n_shared").cast("long").alias("n_shared"), F.col("m.item_n").cast("long").alias("n_item"), (F.col("m.n_shared") / F.col("m.item_n")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
-    """The rows of ``docs`` that hold no item; rows with a null id are judged together.
+    """The rows of ``docs`` that hold no item, with its columns; rows with a null id are judged together.
 
     An item is held by the words as they are, by plain words (``plain_words``), or, if it has under five plain words, as
-    a run of these anywhere in the text.
+    a run of these anywhere in the text. Null and empty texts hold nothing and stay; an empty benchmark takes nothing
+    away; columns may have any names.
     """
     found = leaks(docs, items, contained).unionAll(leaks(docs, items, contained, plain_words)).unionAll(short_leaks(docs, items))
-    leaked = found.select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").cast("long").eqNullSafe(F.col("__leaked")), "left_anti")
+    name = fresh(docs, "leaked")
+    leaked = found.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaked, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 ORACLE = r"""
