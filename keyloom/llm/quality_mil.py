@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from keyloom.llm.common import SPACES, byte_slices, held_out, small_batches, span_hashes, text_of, utf8_buffer, word_spans
+from keyloom.llm.common import SPACES, byte_slices, fresh, held_out, small_batches, span_hashes, text_of, utf8_buffer, word_spans
 from keyloom.llm.sampling import labelled
 
 #: The bound of the training sample: documents per label, and code points of a document.
@@ -153,36 +153,37 @@ def train(docs: DataFrame, labels: DataFrame) -> GatedAttention | float:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and __score (0 to 1, higher: better) of every row, from the whole text alone.
+def score(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and one more, ``name`` (0 to 1, higher: better), of every row, from the whole text alone.
 
-    Null and empty texts get the score of one passage of zeros; repeated rows get equal scores.
+    Null and empty texts get the score of one passage of zeros; repeated rows get equal scores; an empty table has no
+    rows. Columns of ``docs`` may have any name but ``name``.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs, labels))  # a few kilobytes
     small_batches(spark)
     read = docs.withColumn("text", text_of())
-    fields = [f.name for f in read.schema.fields]
+    fields = read.schema.fields
+    names = [*[f.name for f in fields], name]
+    at = next(i for i, f in enumerate(fields) if f.name.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for whole in batches:
-            for b in byte_slices(whole, "text"):
-                if isinstance(m, float):
-                    s = np.full(b.num_rows, m)
-                else:
-                    s = m.forward(*passages(b.column("text")))[0]
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in fields], pa.array(s.astype(np.float64))], [*fields, "__score"])
+            for b in byte_slices(whole, at):
+                s = np.full(b.num_rows, m) if isinstance(m, float) else m.forward(*passages(b.column(at)))[0]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s.astype(np.float64))], names)
 
-    return read.mapInArrow(run, StructType([*read.schema.fields, StructField("__score", DoubleType())]))
+    return read.mapInArrow(run, StructType([*fields, StructField(name, DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= ACCEPT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject."""
-    return score(docs, labels).filter(F.col("__score") >= ACCEPT).drop("__score")
+    """The rows of ``docs``, with its columns, that the classifier doesn't reject; empty texts are judged like others."""
+    name = fresh(docs, "score")
+    return score(docs, labels, name).filter(F.col(name) >= ACCEPT).drop(name)
