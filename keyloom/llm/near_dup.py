@@ -21,9 +21,9 @@ COORDINATES, BANDS, ROWS = 256, 36, 7
 AGREE = 0.68
 #: Documents whose darts are thrown together: each gets about 2000, however short it is.
 TOGETHER = 128
-#: Center elections before what is left is compared within its buckets, and how many there may be while a bucket of
-#: several classes has more than BOUND members and elections still find links.
-ELECTIONS, MOST_ELECTIONS, BOUND = 2, 8, 256
+#: Center elections before what is left is compared within its buckets. More follow, up to MOST_ELECTIONS, while the
+#: largest bucket of several classes has more than BOUND members and the last election has halved it.
+ELECTIONS, MOST_ELECTIONS, BOUND = 2, 8, 5000
 _DART, _PLACE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -177,7 +177,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     the sets of five-word shingles, or the same text. Exact copies are folded first, by a digest with map-side
     aggregation. Among different texts every band bucket elects a center by hash, and its members are compared with
     the center whose signature agrees best; this is done ELECTIONS times or, while buckets of several classes are large
-    and links are found, up to MOST_ELECTIONS times, each time only for members that are not yet in their center's
+    and elections halve them, up to MOST_ELECTIONS times, each time only for members that are not yet in their center's
     class. What then still shares a bucket without sharing a class is compared within one join, as far as sizes and
     signatures allow the similarity, in the first bucket that the two share; only links leave that join.
 
@@ -202,8 +202,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     sets = materialise(shingle_sets(read.join(grouped, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
     side = lambda n: sigs.select(F.col("doc_id").alias(n), F.col("sig").alias(f"sig_{n}"), F.col("n_shingles").alias(f"n_{n}"))
     links, known, tested = None, None, None
-    placed, turn, largest, merged = buckets.withColumn("component", F.col("doc_id")), 0, 0, 1
-    while turn < ELECTIONS or (turn < MOST_ELECTIONS and largest > BOUND and merged):
+    placed, turn, largest, before = buckets.withColumn("component", F.col("doc_id")), 0, 0, 0
+    while turn < ELECTIONS or (turn < MOST_ELECTIONS and largest > BOUND and 2 * largest <= before):
         center = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("x"), F.col("component").alias("cx"))
         elected = placed.groupBy("bucket").agg(F.min(center).alias("c"))
         met = placed.join(elected, "bucket").filter(F.col("component") != F.col("c.cx")).select(F.col("c.x").alias("x"), F.col("doc_id").alias("y")).distinct()
@@ -215,13 +215,12 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         pairs = materialise(pairs)
         tested = pairs if tested is None else tested.union(pairs)
         found = materialise(_verified(pairs, sets, similar))
-        merged = found.limit(1).count()
         links = found if links is None else links.union(found)
         known = components(links)
         placed = buckets.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         several = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("members")).filter("p <> q")
         placed = materialise(placed.join(several.select("bucket", "members"), "bucket"))
-        largest = placed.agg(F.max("members")).first()[0] or 0
+        before, largest = largest, placed.agg(F.max("members")).first()[0] or 0
         placed, turn = placed.drop("members"), turn + 1
     # each pair is verified in the first bucket that it shares only
     whole = lambda n: sigs.select(F.col("doc_id").alias(n), F.col("sig").alias(f"sig_{n}"), F.col("n_shingles").alias(f"n_{n}"), F.col("bands").alias(f"bands_{n}")).join(sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"set_{n}")), n)
