@@ -1,18 +1,21 @@
 """Substring dedup: repeated-phrase automata that locate every occurrence of recurring passages.
 
 1. Every text is cut at anchors: in each window of 35 words the run of ANCHOR words with the smallest hash is the
-   window's anchor, so equal windows have equal anchors. The windows that share an anchor make a segment.
-2. Segments are counted by (anchor, segment) hash. A segment found twice recurs as a whole. An anchor with several
-   different segments may hide shorter repeats, so one copy of each of its segments is fetched as text.
-3. These are dealt to shards by anchor. A shard confirms the windows that recur among its segments, compiles Aho-Corasick
-   automata of the confirmed passages, a bounded number of words each, and streams the segments through them.
-   An anchor with very many different segments (a common phrase) is not gathered: its windows are counted by digest.
-4. What was located goes back to all segments by hash, and from there to the documents, whose words are removed.
+   window's anchor, so equal windows have equal anchors. The windows that share an anchor make a segment. Only segments
+   whose anchor is found at two places or more can hold a recurring window.
+2. Confirm: segments are counted by (anchor, segment) hash. A segment that is its anchor's only one recurs as a whole.
+   The windows of all other segments are counted by 128-bit hashes, each segment's once, times its number of places.
+3. Compile and stream: documents are dealt to blocks of bounded size by id. A block gets the confirmed passages that its
+   documents hold, each once, as places in one of its documents; it compiles Aho-Corasick automata of them, of a bounded
+   number of words each, and streams all its documents through these. What they locate is removed.
+
+No step gathers the segments, windows or places of one anchor or passage: they are counted with map-side aggregation and
+joined with written tables, whose large partitions Spark can split.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +27,8 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import byte_slices, materialise, mix64, small_batches, span_hashes, text_of, utf8_buffer, word_spans
 
 WINDOW, ANCHOR = 35, 8
-#: Words of all patterns of one automaton, and different segments of one anchor that are searched in one task.
-AUTOMATON_WORDS, ANCHOR_SEGMENTS = 400_000, 2000
-_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+#: Bytes of text of a block of documents, on average, and words of all patterns of one automaton.
+BLOCK_BYTES, AUTOMATON_WORDS = 2 << 20, 400_000
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -84,161 +86,131 @@ def segments(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start int, words int, anchor long, segment long")
 
 
-def segment_words(located: DataFrame) -> DataFrame:
-    """anchor, segment, n, kinds, piece (the segment's words joined by spaces) of rows with text and wanted segments."""
+def segment_windows(located: DataFrame) -> DataFrame:
+    """anchor, segment, n, h1, h2 (128-bit hashes of the segment's windows in order) of rows with text and wanted segments."""
     small_batches(located.sparkSession, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in byte_slices(whole, "text"):
-                out: list[tuple] = []
-                for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-                    words = _SPLIT.findall(text)
-                    out += [(w["anchor"], w["segment"], w["n"], w["kinds"], " ".join(words[w["start"] : w["start"] + w["words"]])) for w in wanted]
-                cols = list(zip(*out, strict=True)) if out else [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["anchor", "segment", "n", "kinds", "piece"])
+                raw, offsets = utf8_buffer(b.column("text"))
+                starts, ends, doc = word_spans(raw, offsets)
+                first = np.searchsorted(doc, np.arange(b.num_rows))
+                wanted = b.column("wanted")
+                of, w = wanted.value_parent_indices().to_numpy(), wanted.flatten()
+                begin = first[of] + w.field("start").to_numpy()
+                n = w.field("words").to_numpy().astype(np.int64) - (WINDOW - 1)
+                at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                ends_at = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                words = span_hashes(raw.astype(np.uint64) + np.uint64(1), starts, ends)
+                both = (span_hashes(x, at, at + WINDOW).view(np.int64) for x in (words, mix64(words)))
+                lists = [pa.ListArray.from_arrays(ends_at, pa.array(x)) for x in both]
+                yield pa.RecordBatch.from_arrays([w.field("anchor"), w.field("segment"), w.field("n"), *lists], ["anchor", "segment", "n", "h1", "h2"])
+
+    return located.mapInArrow(run, "anchor long, segment long, n long, h1 array<long>, h2 array<long>")
+
+
+def confirmed(docs: DataFrame, recurring: DataFrame) -> DataFrame:
+    """anchor, segment, whole, starts: the segments that hold recurring windows.
+
+    ``recurring`` has the places (doc_id, start, words) of all segments whose anchor is found twice. whole: the anchor has
+    no other segment, so all windows recur, and starts is null; otherwise starts has the positions of those that do.
+    """
+    place = F.struct("doc_id", "start", "words")
+    counted = materialise(recurring.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")))
+    several = materialise(counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor"))
+    alone = counted.join(several, "anchor", "left_anti").select("anchor", "segment", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts"))
+    mixed = counted.join(several, "anchor", "left_semi").select("anchor", "segment", "n", "at.*")
+    wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "segment", "n", "start", "words")).alias("wanted"))
+    each = materialise(segment_windows(docs.join(wanted, "doc_id").select("text", "wanted")))
+    windows = each.select("anchor", "segment", "n", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("anchor", "segment", "n", "at", "h.h1", "h.h2")
+    again = materialise(windows.groupBy("h1", "h2").agg(F.sum("n").alias("places")).filter("places > 1").select("h1", "h2"))
+    some = windows.drop("n").join(again, ["h1", "h2"], "left_semi").groupBy("anchor", "segment").agg(F.lit(False).alias("whole"), F.array_sort(F.collect_list("at")).alias("starts"))
+    return materialise(alone.unionByName(some))
+
+
+def locate(patterns: list[tuple[int, ...]], texts: list[tuple[int, ...]]) -> list[np.ndarray]:
+    """For each text (of word numbers), which of its words an occurrence of a pattern covers; automata of bounded size, one by one."""
+    import ahocorasick
 
-    return located.mapInArrow(run, "anchor long, segment long, n long, kinds long, piece string")
+    edges = [np.zeros(len(t) + 1, np.int64) for t in texts]
+    k = 0
+    while k < len(patterns):
+        automaton, size = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), 0
+        while k < len(patterns) and (not size or size + len(patterns[k]) <= AUTOMATON_WORDS):
+            automaton.add_word(patterns[k], len(patterns[k]))
+            size += len(patterns[k])
+            k += 1
+        automaton.make_automaton()
+        for words, edge in zip(texts, edges, strict=True):
+            found = list(automaton.iter(words))
+            if found:
+                hits = np.array(found, np.int64)
+                np.add.at(edge, hits[:, 0] - hits[:, 1] + 1, 1)
+                np.add.at(edge, hits[:, 0] + 1, -1)
+    return [np.cumsum(e[:-1]) > 0 for e in edges]
 
 
-def confirm(pieces: list[list[int]], counts: list[int], window: int = WINDOW) -> list[tuple[int, ...]]:
-    """The passages that recur: runs of windows (of word numbers) that are found at two places or more."""
-    seen: dict[tuple[int, ...], int] = {}
-    for words, n in zip(pieces, counts, strict=True):
-        for i in range(len(words) - window + 1):
-            w = tuple(words[i : i + window])
-            seen[w] = seen.get(w, 0) + n
-    return [w for w, n in seen.items() if n > 1]
+def split_words(text: str) -> list[str]:
+    words = text.replace("\n", " ").replace("\t", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ")
+    return [w for w in words if w]
 
 
-def locate(patterns: list[tuple[int, ...]], pieces: list[list[int]], window: int = WINDOW) -> list[np.ndarray]:
-    """For each piece, which of its words an occurrence of a pattern covers; automata of bounded size, one by one."""
-    import ahocorasick
+def clean_block(texts: list[str], passages: list[tuple[int, int, int, list[int] | None]]) -> list[tuple[int, int, str]]:
+    """n_words, n_removed and the kept words of every text of a block.
 
-    covered = [np.zeros(len(p), bool) for p in pieces]
-    step = max(1, AUTOMATON_WORDS // window)
-    for k in range(0, len(patterns), step):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for p in patterns[k : k + step]:
-            automaton.add_word(p, len(p))
-        automaton.make_automaton()
-        for words, hit in zip(pieces, covered, strict=True):
-            for end, size in automaton.iter(tuple(words)):
-                hit[end - size + 1 : end + 1] = True
-    return covered
-
-
-def _runs(hit: np.ndarray) -> list[int]:
-    """Starts and ends, in turn, of the runs of true values."""
-    return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
-
-
-def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    numbers: dict[str, int] = {}
-    pieces = [[numbers.setdefault(w, len(numbers) + 1) for w in p.split(" ")] for p in pdf["piece"]]
-    covered = locate(confirm(pieces, pdf["n"].tolist()), pieces)
-    out = pdf[["anchor", "segment"]].copy()
-    out["spans"] = [_runs(c) for c in covered]
-    return out[[len(x) > 0 for x in out["spans"]]]
-
-
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor; groups of whole anchors of a bounded number of words are searched together."""
-    kind = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("spans", pa.list_(pa.int32()))])
-    held: list[pd.DataFrame] = []
-    size = 0
-
-    def done(pdf: pd.DataFrame) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pandas(_shard(pdf), schema=kind, preserve_index=False)
-
-    for b in batches:
-        pdf = b.to_pandas()
-        held.append(pdf)
-        size += len(pdf)
-        if size >= 4000:
-            pdf = pd.concat(held, ignore_index=True)
-            last = pdf["anchor"].iloc[-1]
-            whole = pdf["anchor"] != last
-            if whole.any():
-                yield done(pdf[whole].reset_index(drop=True))
-                pdf = pdf[~whole]
-            held, size = [pdf], len(pdf)
-    if held and size:
-        yield done(pd.concat(held, ignore_index=True))
-
-
-def _common_anchors(pieces: DataFrame) -> DataFrame:
-    """anchor, segment, spans for anchors with too many segments for one task: windows are counted by a 128-bit digest."""
-    words = F.split("piece", " ")
-    each = F.transform(F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.md5(F.array_join(F.slice("w", i, F.lit(WINDOW)), " ").cast("binary")))
-    windows = pieces.withColumn("w", words).select("anchor", "segment", "n", F.posexplode(each).alias("at", "digest"))
-    again = windows.groupBy("anchor", "digest").agg(F.sum("n").alias("places")).filter("places > 1").select("anchor", "digest")
-    spans = F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + WINDOW)))  # at most 28 windows of a segment
-    return windows.join(again, ["anchor", "digest"]).groupBy("anchor", "segment").agg(spans.cast("array<int>").alias("spans"))
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, spans: array of (from, to) word positions, unmerged, that recurring windows cover; only where there are any.
-
-    ``docs`` has distinct, non-null doc_id and text.
+    A passage is a place: a text, its first word, its number of words, and the starts of its recurring windows (all of it
+    recurs where there are none). The automata's alphabet are the words of the passages; other words are all alike.
     """
-    every = materialise(segments(docs))
-    place = F.struct("doc_id", "start", "words")
-    counted = materialise(every.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")))
-    # written, so that the join has shuffles of its own, whose large partitions can be split
-    kinds = materialise(counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("places")).filter("places > 1"))
-    again = counted.join(kinds, "anchor")
-    simple = again.filter("kinds = 1").select("anchor", "segment", F.array(F.lit(0), F.col("at.words")).cast("array<int>").alias("spans"))
-    # a window found twice within one segment text is repeated there as well
-    mixed = materialise(again.filter("kinds > 1").select("anchor", "segment", "n", "kinds", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start"), F.col("at.words").alias("words")))
-    wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "segment", "n", "kinds", "start", "words")).alias("wanted"))
-    pieces = materialise(segment_words(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "wanted")))
-    few = pieces.filter(F.col("kinds") <= ANCHOR_SEGMENTS).select("anchor", "segment", "n", "piece")
-    found = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_by_shard, "anchor long, segment long, spans array<int>")
-    hits = materialise(simple.unionByName(found).unionByName(_common_anchors(pieces.filter(F.col("kinds") > ANCHOR_SEGMENTS))))
-    placed = every.join(hits, ["anchor", "segment"]).select("doc_id", F.transform("spans", lambda x: x + F.col("start")).alias("spans"))
-    return placed.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-
-def _without(text: str, spans: list[int] | None) -> tuple[int, int, str]:
-    words = text.replace("\n", " ").replace("\t", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ")
-    words = [w for w in words if w]
-    if not spans:
-        return len(words), 0, " ".join(words)
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, spans[0::2], 1)
-    np.add.at(edge, spans[1::2], -1)
-    keep = np.cumsum(edge[:-1]) == 0
-    kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-    return len(words), len(words) - len(kept), " ".join(kept)
+    words = [split_words(t) for t in texts]
+    if not passages:
+        return [(len(w), 0, " ".join(w)) for w in words]
+    number: dict[str, int] = {}
+    patterns: dict[tuple[int, ...], None] = {}
+    for of, start, n, starts in passages:
+        ids = tuple([number.setdefault(w, len(number) + 1) for w in words[of][start : start + n]])
+        if starts is None:
+            patterns[ids] = None
+        else:
+            patterns.update((ids[k : k + WINDOW], None) for k in starts)
+    get = number.get
+    out = []
+    for w, gone in zip(words, locate(list(patterns), [tuple([get(x, 0) for x in w]) for w in words]), strict=True):
+        kept = [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
+        out.append((len(w), len(w) - len(kept), " ".join(kept)))
+    return out
+
+
+def _block(docs: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
+    places = {d: k for k, d in enumerate(docs["doc_id"])}
+    known = [(places[d], s, n, None if w else list(x)) for d, s, n, w, x in zip(passages["doc_id"], passages["start"], passages["words"], passages["whole"], passages["starts"], strict=True)]
+    rows = clean_block(docs["text"].tolist(), known)
+    n, gone, text = zip(*rows, strict=True) if rows else ((), (), ())
+    return pd.DataFrame({"doc_id": docs["own_id"].astype("Int64"), "text": list(text), "n_words": list(n), "n_removed": list(gone)})
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text (kept words joined by one space), n_words, n_removed of every row of ``docs``.
 
     Each word that a window of 35 words covers goes if the window's words also start at any other place of any text.
-    Null texts have no words. Rows that share an id, or have none, are texts of their own: they are told apart by a
-    number given to equal (id, text) rows, so repeated rows remove each other's words.
+    Null texts have no words; an empty table gives no rows; only doc_id and text are read. Rows that share an id, or have
+    none, are texts of their own: they are told apart by a number given to the rows, so repeated rows remove each other's
+    words.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("own_id"), text_of().alias("text"))
     small_batches(docs.sparkSession)
-    several = read.groupBy("own_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or own_id is null").limit(1).count()
-    if several:
+    if read.groupBy("own_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or own_id is null").limit(1).count():
         read = materialise(read.withColumn("doc_id", F.monotonically_increasing_id()))
     else:
         read = read.withColumn("doc_id", F.col("own_id"))
-    spans = repeated_spans(read).withColumnRenamed("doc_id", "at_id")
-    joined = read.join(spans.hint("shuffle_hash"), read["doc_id"] == F.col("at_id"), "left").select("own_id", "text", "spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in byte_slices(whole, "text"):
-                rows = [_without(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
-                n, gone, text = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column("own_id"), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
-
-    return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
+    every = materialise(segments(read))
+    anchors = materialise(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("anchor"))
+    recurring = materialise(every.join(anchors, "anchor", "left_semi"))
+    blocks = max(1, math.ceil((read.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) / BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    held = materialise(recurring.groupBy(block, "anchor", "segment").agg(F.min(F.struct("doc_id", "start", "words")).alias("at")))
+    passages = held.join(confirmed(read, recurring), ["anchor", "segment"]).select("block", "at.*", "whole", "starts")
+    return read.withColumn("block", block).groupBy("block").cogroup(passages.groupBy("block")).applyInPandas(_block, "doc_id long, text string, n_words long, n_removed long")
 
 
 ORACLE = r"""

@@ -138,19 +138,33 @@ def test_substring_dedup(docs, nothing, rows):
     assert substring.remove_repeats(nothing).count() == 0
 
 
-def test_common_anchors_are_counted_by_digest(docs, monkeypatch):
+def test_substring_dedup_in_small_blocks(docs, monkeypatch):
     once = sorted(tuple(r) for r in substring.remove_repeats(docs).collect())
-    monkeypatch.setattr(substring, "ANCHOR_SEGMENTS", 0)
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 3000)
     assert sorted(tuple(r) for r in substring.remove_repeats(docs).collect()) == once
 
 
+def test_what_the_automata_locate_is_what_goes():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(list("abcd"), 60)) for _ in range(3)]
+    texts += [f"x {texts[0]} y", texts[1] + " z " + texts[1], "", "short"]
+    # one place of a passage in the block is enough for all its occurrences; the third text is no passage
+    got = substring.clean_block(texts, [(0, 0, 60, None), (1, 2, 40, [0, 5])])
+    assert [r[1] for r in got] == [60, 40, 0, 60, 80, 0, 0]
+    assert got[3][2] == "x y" and got[2][2] == texts[2] and got[4][0] == 121
+    assert substring.clean_block(texts, []) == [(len(t.split()), 0, t) for t in texts]
+
+
 def test_automata_are_sharded_without_loss(monkeypatch):
     rng = np.random.default_rng(2)
-    pieces = [list(map(int, rng.integers(1, 4, 60))) for _ in range(30)] + [list(range(10, 70))] * 2
-    patterns = substring.confirm(pieces, [1] * len(pieces), 6)
-    once = substring.locate(patterns, pieces, 6)
+    texts = [tuple(map(int, rng.integers(1, 4, 60))) for _ in range(30)] + [tuple(range(10, 70))] * 2
+    patterns = sorted({t[k : k + 6] for t in texts[::3] for k in range(0, 50, 2)})
+    once = substring.locate(patterns, texts)
+    for t, hit in zip(texts, once, strict=True):
+        at = {j for k in range(len(t) - 5) if t[k : k + 6] in set(patterns) for j in range(k, k + 6)}
+        assert set(np.flatnonzero(hit)) == at
     monkeypatch.setattr(substring, "AUTOMATON_WORDS", 60)
-    assert all((a == b).all() for a, b in zip(once, substring.locate(patterns, pieces, 6), strict=True)) and once[-1].all()
+    assert all((a == b).all() for a, b in zip(once, substring.locate(patterns, texts), strict=True))
 
 
 def test_quality_counts(docs, nothing, rows):
