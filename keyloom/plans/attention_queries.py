@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyloom.functions.ranges import matches
 from keyloom.operators import attention as A
 from keyloom.operators import vectors as V
 from keyloom.plans.registry import EVERY, NOW_MS, query, search
@@ -184,40 +183,3 @@ def state_ring(t):
     r = t.region.selectExpr("concat('r', r_regionkey) AS key")
     writes = r.selectExpr("key", "1 AS seq", "0L AS offset", "CAST('abcdefgh' AS BINARY) AS data").unionAll(r.selectExpr("key", "2", "6L", "CAST('WXYZ' AS BINARY)"))
     return A.ring_write(8, writes).select("key", F.col("data").cast("string").alias("whole"))
-
-
-@query("state_read", "SELECT 'r' || r_regionkey AS key, 'cdefWX' AS part FROM region")
-def state_read(t):
-    r = t.region.selectExpr("concat('r', r_regionkey) AS key")
-    writes = r.selectExpr("key", "1 AS seq", "0L AS offset", "CAST('abcdefgh' AS BINARY) AS data").unionAll(r.selectExpr("key", "2", "6L", "CAST('WXYZ' AS BINARY)"))
-    return A.ring_write(8, writes).select("key", F.substring("data", 3, 6).cast("string").alias("part"))
-
-
-@query("psubscribe", "SELECT event_id, event_type AS channel FROM events WHERE event_type LIKE 'c%k' OR event_type LIKE '_iew'")
-def psubscribe(t):
-    channel = F.col("event_type")
-    return t.events.filter(matches(channel, "c*k") | matches(channel, "?iew")).select("event_id", channel.alias("channel"))
-
-
-@query("publish", "SELECT event_type AS channel, count(*) AS receivers FROM events JOIN (VALUES ('click'), ('view'), ('click')) AS s(c) ON c = event_type GROUP BY 1")
-def publish(t):
-    subscribers = t.spark.createDataFrame([("click",), ("view",), ("click",)], "channel string")
-    return t.events.select(F.col("event_type").alias("channel")).join(subscribers, "channel").groupBy("channel").agg(F.count(F.lit(1)).alias("receivers"))
-
-
-@query("eval", "SELECT key, length(value) * 2 + 1 AS result FROM kv_string")
-def eval_(t):
-    """A script over keys and values, as a function registered by name and called in SQL; batches, not rows."""
-    from keyloom.functions.scripts import register
-
-    register(t.spark, "keyloom_twice", lambda s: s.str.len() * 2 + 1, "long")
-    return t.kv_string.select("key", F.expr("keyloom_twice(value)").alias("result"))
-
-
-@query("exec_watch", "SELECT key, CASE WHEN version = seen THEN value || '!' ELSE value END AS value FROM (SELECT concat('cust:', c_custkey) AS key, c_name AS value, c_custkey % 3 AS version, 1 AS seen FROM customer)")
-def exec_watch(t):
-    """Optimistic writes: each takes effect only if the key's version is still the one that was watched."""
-    rows = t.customer.select(F.concat(F.lit("cust:"), "c_custkey").alias("key"), F.col("c_name").alias("value"), (F.col("c_custkey") % 3).alias("version"))
-    writes = rows.select("key", F.lit(1).alias("seen"), F.concat("value", F.lit("!")).alias("new"))
-    both = rows.join(writes, "key", "left")
-    return both.select("key", F.when(F.col("version") == F.col("seen"), F.col("new")).otherwise(F.col("value")).alias("value"))

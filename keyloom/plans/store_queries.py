@@ -9,62 +9,6 @@ from keyloom.operators import stores as S
 from keyloom.operators import streams
 from keyloom.plans.registry import NOW_MS, query
 
-#: A log of stored blobs: every order stores its priority for its customer and line count as layer.
-BLOBS = "log AS (SELECT concat('s', o_custkey % 100) AS session, (o_orderkey % 4)::INTEGER AS layer, o_orderkey AS seq, o_orderpriority AS blob FROM orders), st AS (SELECT session, layer, arg_max(blob, seq) AS blob FROM log GROUP BY session, layer)"
-
-
-def log(t):
-    return t.orders.selectExpr("concat('s', o_custkey % 100) AS session", "CAST(o_orderkey % 4 AS INT) AS layer", "o_orderkey AS seq", "o_orderpriority AS blob")
-
-
-def stored(t):
-    return S.store(log(t), ["session", "layer"])
-
-
-for _name in ("ssm_prefix_store", "kv_store", "attend_store", "attend_prefix_store"):
-
-    @query(_name, f"WITH {BLOBS} SELECT session, layer, blob FROM st")
-    def _store(t):
-        return stored(t)
-
-
-@query("ssm_prefix_fetch", f"WITH {BLOBS} SELECT blob FROM st WHERE session = 's7' AND layer = 2")
-def ssm_prefix_fetch(t):
-    return stored(t).filter("session = 's7' AND layer = 2").select("blob")
-
-
-for _name in ("ssm_prefix_drop", "kv_prefix_drop"):
-
-    @query(_name, f"WITH {BLOBS} SELECT session, layer, blob FROM st WHERE session NOT LIKE 's1%'")
-    def _drop(t):
-        s = stored(t)
-        return S.drop(s, s.filter("session LIKE 's1%'").select("session").distinct(), "session").select("session", "layer", "blob")
-
-
-for _name in ("kv_info", "v_info", "attend_info", "kv_prefix_info", "state_info"):
-
-    @query(_name, f"WITH {BLOBS} SELECT session, count(*) AS entries, sum(length(blob))::BIGINT AS bytes FROM st GROUP BY session")
-    def _info(t):
-        return S.info(stored(t).withColumn("size", F.length("blob").cast("long")), ["session"], "size")
-
-
-for _name in ("kv_prefix_register", "v_create", "attend_create", "state_alloc"):
-
-    @query(_name, f"WITH {BLOBS} SELECT session, count(*) AS tokens FROM st GROUP BY session")
-    def _register(t):
-        return stored(t).groupBy("session").agg(F.count(F.lit(1)).alias("tokens"))
-
-
-_LOOKUP = f"WITH {BLOBS}, e AS (SELECT session, count(*) AS have FROM st GROUP BY session), a AS (SELECT concat('s', c_custkey % 150) AS session, c_custkey % 6 AS wanted FROM customer) SELECT session, wanted, CASE WHEN have IS NULL THEN 'MISS' WHEN have < wanted THEN 'COLD' ELSE 'HIT' END AS state FROM a LEFT JOIN e USING (session)"
-for _name in ("kv_prefix_lookup", "attend_prefix_lookup"):
-
-    @query(_name, _LOOKUP)
-    def _lookup(t):
-        entries = stored(t).groupBy("session").agg(F.count(F.lit(1)).alias("tokens"))
-        asked = t.customer.selectExpr("concat('s', c_custkey % 150) AS session", "c_custkey % 6 AS wanted")
-        return S.lookup(entries, asked, "session", "wanted")
-
-
 @query("kv_prefix_blocks", "SELECT o_orderkey // 64 AS block, count(*) AS hashes FROM orders GROUP BY 1")
 def kv_prefix_blocks(t):
     return t.orders.groupBy(F.floor(F.col("o_orderkey") / 64).alias("block")).agg(F.count(F.lit(1)).alias("hashes"))
@@ -92,27 +36,6 @@ for _bits in (8, 4, 3, 2):
         return rows.agg(F.sqrt(F.avg("e")).alias("error"))
 
 
-@query("script_call", "SELECT key, upper(value) AS result FROM kv_string")
-def script_call(t):
-    from keyloom.functions.scripts import register
-
-    register(t.spark, "keyloom_upper", lambda s: s.str.upper(), "string")
-    return t.kv_string.select("key", F.expr("keyloom_upper(value)").alias("result"))
-
-
-@query("multi_exec", "WITH l AS (SELECT o_custkey AS key, o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN 'bad' ELSE 'ok' END AS verdict, o_orderkey // 7 AS batch FROM orders) SELECT key, max(seq) AS last FROM l WHERE batch NOT IN (SELECT batch FROM l WHERE verdict = 'bad') GROUP BY key")
-def multi_exec(t):
-    """Batches of commands take effect as a whole: a batch with a bad command is dropped."""
-    rows = t.orders.selectExpr("o_custkey AS key", "o_orderkey AS seq", "CASE WHEN o_orderkey % 5 = 0 THEN 'bad' ELSE 'ok' END AS verdict", "o_orderkey div 7 AS batch")
-    bad = rows.filter("verdict = 'bad'").select("batch").distinct()
-    return rows.join(bad, "batch", "left_anti").groupBy("key").agg(F.max("seq").alias("last"))
-
-
-@query("pubsub_numsub", "SELECT c AS channel, count(*) AS subscribers FROM (VALUES ('click'), ('view'), ('click')) AS s(c) GROUP BY c")
-def pubsub_numsub(t):
-    return t.spark.createDataFrame([("click",), ("view",), ("click",)], "channel string").groupBy("channel").agg(F.count(F.lit(1)).alias("subscribers"))
-
-
 @query("command_log_compact", "WITH l AS (SELECT o_custkey AS key, o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN 'SET' ELSE 'APPEND' END AS cmd FROM orders), x AS (SELECT key, max(seq) AS last FROM l WHERE cmd = 'SET' GROUP BY key) SELECT l.key, seq, cmd FROM l LEFT JOIN x ON l.key = x.key WHERE last IS NULL OR seq >= last")
 def command_log_compact(t):
     from keyloom.sources.tables import compact
