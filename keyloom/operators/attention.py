@@ -91,6 +91,44 @@ def nearest_cached(entries: DataFrame, queries: DataFrame, threshold: float) ->
     return nearest(entries, queries, 1, "cos_dist").select("query", "element", (1 - F.col("score")).alias("score")).filter(F.round("score", 9) >= threshold)
 
 
+#: Entries of a semantic cache at most. Fixed value.
+CACHED = 10_000
+
+
+def cache_set(log: DataFrame, most: int = CACHED) -> DataFrame:
+    """AI.SEMANTIC_CACHE SET of rows (query, seq, embedding, response): the last response of each query, the newest ``most``."""
+    rest = [c for c in log.columns if c != "query"]
+    last = log.groupBy("query").agg(F.max_by(F.struct(*rest), "seq").alias("l")).select("query", "l.*")
+    return last.orderBy(F.col("seq").desc(), "query").limit(most).drop("seq")
+
+
+def explained(entries: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    """AI.SEMANTIC_CACHE EXPLAIN: the most similar entry of every query, its similarity, and whether it would be a hit."""
+    from keyloom.operators.vectors import nearest
+
+    found = nearest(entries, queries, 1, "cos_dist").select("query", "element", (1 - F.col("score")).alias("score"))
+    return found.withColumn("hit", F.round("score", 9) >= threshold)
+
+
+def recall(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """AI.MEMORY RECALL: query, element, score: the k most similar memories of the query's own session.
+
+    ``memories`` (session, element, embedding) and ``queries`` (session, query, embedding) meet in an equi-join on the
+    session; similarities are column arithmetic, and the best k per query are kept by one window.
+    """
+    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+    asked = queries.select("session", "query", F.col("embedding").alias("q"), norm("embedding").alias("nq"))
+    both = memories.withColumn("n", norm("embedding")).join(asked, "session")
+    score = F.when((F.col("n") > 0) & (F.col("nq") > 0), dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("nq"))).otherwise(0.0)
+    w = Window.partitionBy("query").orderBy(F.round("score", 12).desc(), "element")
+    return both.select("query", "element", score.alias("score")).withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+
+
+def remember(log: DataFrame) -> DataFrame:
+    """AI.MEMORY ADD of rows (session, seq, role, text): each session's memories numbered in order."""
+    return log.withColumn("pos", F.row_number().over(Window.partitionBy("session").orderBy("seq")) - 1).drop("seq")
+
+
 def ring_write(size: int, writes: DataFrame) -> DataFrame:
     """A ring buffer of ``size`` bytes per key after ordered writes (key, seq, offset, data): the last write of each byte wins.
 

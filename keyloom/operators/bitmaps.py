@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bits of a block of a string that is laid out.
+BLOCK = 1 << 16
+
+
 def set_bits(bits: DataFrame, log: DataFrame) -> DataFrame:
     """SETBIT for a log (key, pos, seq, bit) of distinct seq: the last command of each bit decides."""
     last = log.groupBy("key", "pos").agg(F.max_by("bit", "seq").alias("bit"))
@@ -68,9 +72,10 @@ def combine(bits: DataFrame, operation: str, keys: list[str]) -> DataFrame:
 
 
 def invert(bits: DataFrame, key: str) -> DataFrame:
-    """BITOP NOT: the clear bits of the key's bytes."""
+    """BITOP NOT: the clear bits of the key's bytes, laid out in blocks of BLOCK bits, so no array grows with the key."""
     own = bits.filter(F.col("key") == key)
-    every = byte_size(own).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") * 8 - 1)).alias("pos"))
+    blocks = byte_size(own).select((F.col("bytes") * 8).alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") * 8 - 1) / BLOCK))).alias("block"))
+    every = blocks.select("size", F.explode(F.sequence(F.col("block") * BLOCK, F.least((F.col("block") + 1) * BLOCK, F.col("size")) - 1)).alias("pos")).select("pos")
     return every.join(own.select("pos"), "pos", "left_anti")
 
 

@@ -65,9 +65,27 @@ def sort(values: DataFrame, alpha: bool = False, descending: bool = False, offse
 def evict(rows: DataFrame, keep: int, policy: str) -> DataFrame:
     """The keys that stay under a limit of ``keep``: by last access (lru), access count (lfu), deadline (ttl) or hash.
 
-    Exact, not sampled; policies named volatile-* only ever evict keys with a deadline.
+    Exact, not sampled; policies named volatile-* only ever evict keys with a deadline. Nothing is sorted as a whole: a
+    quantile puts nearly all rows on one side or the other, and only rows about the limit are put in order.
     """
     scope, _, kind = policy.partition("-")
-    order = {"lru": F.col("accessed").desc(), "lfu": F.col("hits").desc(), "ttl": F.col("expire_ms").desc_nulls_first(), "random": F.md5(F.col("key").cast("binary")).asc()}[kind]
-    safe = [F.col("expire_ms").isNull().desc()] if scope == "volatile" else []
-    return rows.orderBy(*safe, order, F.col("key")).limit(keep)
+    hashed = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 12), 16, 10).cast("long")
+    worth = {"lru": F.col("accessed"), "lfu": F.col("hits"), "ttl": F.coalesce("expire_ms", F.lit((1 << 62))), "random": -hashed}[kind].cast("long")
+    tie = F.md5(F.col("key").cast("binary")) if kind == "random" else F.col("key")
+    if scope == "volatile":
+        safe, other = rows.filter("expire_ms IS NULL"), rows.filter("expire_ms IS NOT NULL")
+        n = safe.count()
+        return _best(safe, keep, worth, tie) if n >= keep else safe.unionAll(_best(other, keep - n, worth, tie))
+    return _best(rows, keep, worth, tie)
+
+
+def _best(rows: DataFrame, keep: int, worth: Column, tie: Column) -> DataFrame:
+    """The ``keep`` rows of the largest worth, ties by ``tie``."""
+    n = rows.count()
+    if keep >= n:
+        return rows
+    share = 1 - keep / n
+    near = [max(0.0, share - 0.001), min(1.0, share + 0.001)]
+    low, high = rows.agg(F.percentile_approx(worth, near, 10_000)).first()[0]
+    sure = rows.filter(worth > high)
+    return sure.unionAll(rows.filter((worth >= low) & (worth <= high)).orderBy(worth.desc(), tie).limit(keep - sure.count()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,3 +113,64 @@ def sort_by(rows: DataFrame, field: str, descending: bool = False, slot: str = "
     """Missing values last either way; ties by slot, turned round when descending."""
     order = [F.col(field).isNull().asc(), F.col(field).desc() if descending else F.col(field).asc(), F.col(slot).desc() if descending else F.col(slot).asc()]
     return rows.orderBy(*order)
+
+
+@dataclass(frozen=True)
+class Index:
+    """FT.CREATE: a name, the prefixes of its keys, and the fields of its schema with their types.
+
+    An index is a view: what is stored under its prefixes, before or after it was made, is in it.
+    """
+
+    name: str
+    prefixes: tuple[str, ...]
+    fields: dict[str, str]
+
+    def __post_init__(self) -> None:
+        wrong = [k for k, kind in self.fields.items() if kind not in ("VECTOR", "TAG", "NUMERIC", "TEXT")]
+        if wrong or not self.fields:
+            raise ValueError(f"no such field types: {wrong}")
+
+    def rows(self, hashes: DataFrame) -> DataFrame:
+        """key and a typed column per field of every hash under a prefix; a field that it lacks, or no number, is null."""
+        own = F.lit(False)
+        for p in self.prefixes or ("",):
+            own = own | F.startswith(F.col("key"), F.lit(p))
+        value = lambda k: F.max(F.when(F.col("field") == k, F.col("value").cast("string")))
+        typed = {"NUMERIC": lambda c: c.try_cast("double"), "VECTOR": lambda c: F.from_json(c, "array<float>")}
+        columns = [typed.get(kind, lambda c: c)(value(k)).alias(k) for k, kind in self.fields.items()]
+        return hashes.filter(own).groupBy("key").agg(*columns)
+
+    def info(self, hashes: DataFrame) -> DataFrame:
+        """FT.INFO: documents, and how many have each field."""
+        rows = self.rows(hashes)
+        return rows.agg(F.count(F.lit(1)).alias("docs"), *[F.count(column).alias(column) for column in self.fields])
+
+
+class Catalog:
+    """The indexes of a keyspace: FT.CREATE, FT.DROPINDEX, FT._LIST."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, Index] = {}
+
+    def create(self, index: Index) -> Index:
+        if index.name in self.held:
+            raise ValueError("index already exists")
+        self.held[index.name] = index
+        return index
+
+    def drop(self, name: str, hashes: DataFrame, documents: bool = False) -> DataFrame:
+        """The hashes that are left: all of them or, with DD, those that the index doesn't cover."""
+        index = self.held.pop(name, None)
+        if index is None:
+            raise KeyError("unknown index name")
+        return hashes.join(index.rows(hashes).select("key"), "key", "left_anti") if documents else hashes
+
+    def list(self) -> list[str]:
+        return sorted(self.held)
+
+
+def page(rows: DataFrame, order: list[Column], offset: int, count: int, fields: list[str] | None = None, key: str = "key") -> DataFrame:
+    """LIMIT offset count in a total order, then RETURN fields (all by default), or NOCONTENT (no fields): keys only."""
+    some = rows.orderBy(*order, key).offset(offset).limit(count)
+    return some if fields is None else some.select(key, *fields)

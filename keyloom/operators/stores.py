@@ -39,28 +39,54 @@ def info(entries: DataFrame, by: list[str], size: str) -> DataFrame:
     return entries.groupBy(*by).agg(F.count(F.lit(1)).alias("entries"), F.sum(size).alias("bytes"))
 
 
-def quantise_blocks(values: list[float], bits: int, block: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Symmetric block quantisation: whole numbers of ``bits`` bits, and one scale per block of numbers."""
-    x = np.asarray(values, np.float32)
-    padded = np.zeros(-(-len(x) // block) * block, np.float32)
-    padded[: len(x)] = x
-    parts = padded.reshape(-1, block)
-    top = (1 << (bits - 1)) - 1
-    scale = np.abs(parts).max(1) / max(top, 1)
-    q = np.rint(parts / np.where(scale > 0, scale, 1)[:, None]).clip(-top, top).astype(np.int8)
-    return q.reshape(-1)[: len(x)], scale.astype(np.float32)
-
-
-def quantised(rows: DataFrame, bits: int, block: int = 32, vector: str = "embedding") -> DataFrame:
-    """restored: every vector after a round trip through a block format of ``bits`` bits (8, 4, 3 or 2)."""
+#: The largest number of 8-bit floating point with 4 bits of exponent and 3 of fraction, and its smallest exponent.
+FP8_TOP, FP8_LOW = 448.0, -6
+
+
+def quantise_blocks(values: np.ndarray, bits: int, block: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Symmetric block quantisation of rows of numbers: whole numbers of ``bits`` bits, and one scale per block of numbers."""
+    parts, top = _blocks(values, block), (1 << (bits - 1)) - 1
+    scale = np.abs(parts).max(-1) / max(top, 1)
+    q = np.rint(parts / np.where(scale > 0, scale, 1)[..., None]).clip(-top, top).astype(np.int8)
+    return q, scale.astype(np.float32)
+
+
+def quantise_fp8(values: np.ndarray, block: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The same with 8-bit floating point numbers (as the numbers that they stand for) over one scale per block."""
+    parts = _blocks(values, block)
+    scale = np.abs(parts).max(-1) / FP8_TOP
+    y = parts / np.where(scale > 0, scale, 1)[..., None]
+    exponent = np.maximum(np.floor(np.log2(np.maximum(np.abs(y), 1e-30))), FP8_LOW)
+    step = np.exp2(exponent - 3)
+    return (np.rint(y / step) * step).clip(-FP8_TOP, FP8_TOP).astype(np.float32), scale.astype(np.float32)
+
+
+def _blocks(values: np.ndarray, block: int) -> np.ndarray:
+    x = np.atleast_2d(np.asarray(values, np.float32))
+    padded = np.zeros((len(x), -(-x.shape[1] // block) * block), np.float32)
+    padded[:, : x.shape[1]] = x
+    return padded.reshape(len(x), -1, block)
+
+
+def quantised(rows: DataFrame, bits: int | str, block: int = 32, vector: str = "embedding") -> DataFrame:
+    """restored: every vector after a round trip through a block format of 8, 4, 3 or 2 bits, or ``fp8``.
+
+    Vectors of one length are quantised together, a batch at a time.
+    """
+
     @F.pandas_udf("array<double>")
     def trip(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in parts:
-            out = []
-            for x in v:
-                q, s = quantise_blocks(x, bits, block)
-                out.append((q * np.repeat(s, block)[: len(q)]).astype(np.float64))
-            yield pd.Series(out)
+            out = pd.Series([None] * len(v), dtype=object)
+            sizes = v.map(len)
+            for n in sizes.unique():
+                at = np.flatnonzero(sizes.to_numpy() == n)
+                x = np.stack(v.iloc[at].to_numpy()) if n else np.zeros((len(at), 0))
+                q, s = quantise_fp8(x, block) if bits == "fp8" else quantise_blocks(x, int(bits), block)
+                whole = (q.astype(np.float64) * s[..., None]).reshape(len(at), -1)[:, :n]
+                for k, row in zip(at, whole, strict=True):
+                    out.iat[k] = row
+            yield out
 
     return rows.withColumn("restored", trip(vector))
 

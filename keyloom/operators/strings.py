@@ -47,6 +47,23 @@ def last_set(log: DataFrame, first: bool = False) -> DataFrame:
     return log.groupBy("key").agg(pick("value", "seq").alias("value"))
 
 
+def set_log(rows: DataFrame, log: DataFrame, only_new: bool = False, only_old: bool = False, keep_ttl: bool = False) -> DataFrame:
+    """SET of a log (key, seq, value, expire_ms) over the live rows (key, value, expire_ms): NX, XX and KEEPTTL.
+
+    NX writes a missing key once, XX only keys that are there, and a write replaces the deadline unless KEEPTTL.
+    """
+    if only_new and only_old:
+        raise ValueError("NX and XX do not go together")
+    pick = F.min_by if only_new else F.max_by
+    new = log.groupBy("key").agg(pick(F.struct("value", "expire_ms"), "seq").alias("n"))
+    held = rows.select("key", F.struct("value", "expire_ms").alias("h"))
+    both = held.join(new, "key", "left" if only_old else "full")
+    had = F.col("h").isNotNull()
+    writes = F.col("n").isNotNull() & (~had if only_new else F.lit(True))
+    expire = F.when(writes & ~F.lit(keep_ttl), F.col("n.expire_ms")).otherwise(F.col("h.expire_ms"))
+    return both.select("key", F.when(writes, F.col("n.value")).otherwise(F.col("h.value")).alias("value"), expire.cast("long").alias("expire_ms"))
+
+
 def replaced(log: DataFrame) -> DataFrame:
     """What each SET of the log replaced: the value before it, null for the first."""
     return log.withColumn("old", F.lag("value").over(Window.partitionBy("key").orderBy("seq")))

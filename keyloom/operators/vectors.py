@@ -107,33 +107,77 @@ def _nearest_block(rows: DataFrame, block: tuple[list, np.ndarray], k: int, metr
     return rows.select(element, vector).mapInPandas(run, f"query string, element {rows.schema[element].dataType.simpleString()}, score double")
 
 
-def kmeans(rows: DataFrame, cells: int, sample: int = 20_000, rounds: int = 10, vector: str = "embedding", seed: int = 1) -> np.ndarray:
-    """Centroids of an inverted file, fitted on a bounded sample (``sample`` rows in hash order)."""
-    some = rows.select(vector).orderBy(F.xxhash64(F.col(vector).cast("string"))).limit(sample).collect()
-    x = np.array([r[0] for r in some], np.float64)
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
-    for _ in range(rounds):
-        at = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
-        for j in range(len(c)):
-            if (at == j).any():
-                c[j] = x[at == j].mean(0)
-    return c
-
-
-def assign_cells(rows: DataFrame, centroids: np.ndarray, probes: int = 1, vector: str = "embedding") -> DataFrame:
-    """cells: the ``probes`` nearest centroids of every row; the index is the rows partitioned by their first cell."""
-    sent = rows.sparkSession.sparkContext.broadcast(centroids)
-
-    @F.pandas_udf("array<int>")
-    def near(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = sent.value
-        for v in parts:
-            x = np.stack(v.to_numpy()).astype(np.float64)
-            order = ((c * c).sum(1) - 2 * x @ c.T).argsort(1)[:, :probes]
-            yield pd.Series(list(order.astype(np.int32)))
-
-    return rows.withColumn("cells", near(vector))
+#: Bounds of fitting an inverted file: rows that its cells are fitted on, queries that its probes are tried on, cells at
+#: most; and the recall that it is fitted for (with room above what is asked of it).
+SAMPLE, TRIED, MOST_CELLS, RECALL, ROOM = 20_000, 200, 1024, 0.95, 0.02
+
+
+class InvertedFile:
+    """Approximate nearest neighbours: rows are in the cell of their nearest centroid, queries look into the ``probes`` nearest.
+
+    Cells and probes are fitted on a bounded sample in hash order; every row is indexed. How many cells a query has to look
+    into depends on the data (vectors without any grouping need most of them), so it is measured: the fewest that find
+    RECALL + ROOM of the sample's own nearest neighbours.
+    """
+
+    def __init__(self, centroids: np.ndarray, probes: int):
+        self.centroids, self.probes = centroids, probes
+
+    @classmethod
+    def fit(cls, rows: DataFrame, k: int = 10, vector: str = "embedding", rounds: int = 8, seed: int = 1) -> InvertedFile:
+        some = rows.select(vector).orderBy(F.xxhash64(F.col(vector).cast("string"))).limit(SAMPLE).collect()
+        x = np.array([r[0] for r in some], np.float64)
+        rng = np.random.default_rng(seed)
+        c = x[rng.choice(len(x), min(MOST_CELLS, max(1, int(np.sqrt(len(x)))), len(x)), replace=False)] if len(x) else np.zeros((1, 1))
+        for _ in range(rounds if len(x) else 0):
+            at = cls._nearest_cells(x, c, 1)[:, 0]
+            for j in range(len(c)):
+                if (at == j).any():
+                    c[j] = x[at == j].mean(0)
+        return cls(c, cls._probes(x, c, k, rng))
+
+    @staticmethod
+    def _nearest_cells(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+        out = np.empty((len(x), n), np.int64)
+        for i in range(0, len(x), 4096):
+            out[i : i + 4096] = ((c * c).sum(1) - 2 * x[i : i + 4096] @ c.T).argsort(1, kind="stable")[:, :n]
+        return out
+
+    @classmethod
+    def _probes(cls, x: np.ndarray, c: np.ndarray, k: int, rng: np.random.Generator) -> int:
+        if len(x) < 2 or len(c) < 2:
+            return len(c)
+        asked = rng.choice(len(x), min(TRIED, len(x)), replace=False)
+        near = ((x * x).sum(1) - 2 * x[asked] @ x.T).argsort(1, kind="stable")[:, : min(k, len(x))]
+        order = cls._nearest_cells(x[asked], c, len(c))
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(c))[None, :].repeat(len(asked), 0), 1)
+        depth = np.sort(np.take_along_axis(place, cls._nearest_cells(x, c, 1)[near, 0], 1).ravel())  # how far each neighbour's cell is down the list
+        return int(depth[min(len(depth) - 1, int(np.ceil(len(depth) * min(1.0, RECALL + ROOM))))]) + 1
+
+    def cells(self, rows: DataFrame, probes: int = 1, vector: str = "embedding") -> DataFrame:
+        """cells: the nearest cells of every row."""
+        sent = rows.sparkSession.sparkContext.broadcast(self.centroids)
+
+        @F.pandas_udf("array<int>")
+        def near(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for v in parts:
+                x = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, sent.value.shape[1]))
+                yield pd.Series(list(InvertedFile._nearest_cells(x, sent.value, probes).astype(np.int32)))
+
+        return rows.withColumn("cells", near(vector))
+
+    def search(self, rows: DataFrame, queries: DataFrame, k: int, element: str = "element", vector: str = "embedding") -> DataFrame:
+        """query, element, score (squared distance), rank: the k nearest of the rows in the cells that each query looks into.
+
+        Rows and queries meet in an equi-join on the cell; distances are exact, by column arithmetic.
+        """
+        index = self.cells(rows.select(element, vector)).select(element, vector, F.get("cells", F.lit(0)).alias("cell"))
+        asked = self.cells(queries.select("query", vector), self.probes).select("query", F.col(vector).alias("q"), F.explode("cells").alias("cell"))
+        d = F.aggregate(F.zip_with(vector, "q", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
+        w = Window.partitionBy("query").orderBy(F.round("score", 12), "element")
+        near = index.join(asked, "cell").select("query", F.col(element).alias("element"), d.alias("score"))
+        return near.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
 
 def quantise_int8(v: str) -> Column:

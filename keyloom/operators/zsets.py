@@ -70,12 +70,15 @@ def score(z: DataFrame, members: DataFrame) -> DataFrame:
 def add(z: DataFrame, new: DataFrame, only_new: bool = False, only_old: bool = False, greater: bool = False, less: bool = False) -> DataFrame:
     """Upsert of distinct (key, member, score); NX, XX, then GT and LT, which never stop a missing member.
 
-    NaN scores are refused. changed is 1 for a member added or moved, added is 1 for one added.
+    A NaN score is refused where it would be written; a member that NX or XX passes over is not looked at. changed is 1
+    for a member added or moved, added is 1 for one added.
     """
     if only_new and (only_old or greater or less) or greater and less:
         raise ValueError("NX, XX, GT and LT do not go together like this")
-    n = new.select("key", "member", F.when(F.isnan("score"), F.raise_error(F.lit("score is not a number"))).otherwise(F.col("score")).alias("new"))
-    both = z.join(n, ["key", "member"], "full")
+    both = z.join(new.select("key", "member", F.col("score").alias("new")), ["key", "member"], "full")
+    passed = F.col("score").isNotNull() if only_new else F.col("score").isNull() if only_old else F.lit(False)
+    refused = F.isnan("new") & ~passed
+    both = both.withColumn("new", F.when(refused, F.raise_error(F.lit("score is not a number"))).otherwise(F.col("new")))
     old, fresh = F.col("score"), F.col("new")
     move = fresh.isNotNull() & ~F.lit(only_new)
     if greater:

@@ -127,14 +127,44 @@ def ai_memory_context(t):
     return last.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"))
 
 
+@query("ai_memory_add", "SELECT concat('conv:', conv_id) AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text FROM conversations")
+def ai_memory_add(t):
+    return A.remember(t.conversations.select(F.concat(F.lit("conv:"), "conv_id").alias("session"), F.col("turn").alias("seq"), "role", "text"))
+
+
+@query("ai_memory_recall", f"SELECT query, element, score FROM (SELECT q.element AS query, k.element, round(list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.element ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 12) DESC, k.element) AS n FROM vset q JOIN vset k ON q.label = k.label AND q.{EVERY}) WHERE n <= 5")
+def ai_memory_recall(t):
+    """Every 20th vector asks among the memories of its own label."""
+    memories = t.vset.select(F.col("label").alias("session"), "element", "embedding")
+    queries = t.vset.filter(EVERY).select(F.col("label").alias("session"), F.col("element").alias("query"), "embedding")
+    return A.recall(memories, queries, 5).select("query", "element", F.round("score", 6).alias("score"))
+
+
+@query("semantic_cache_set", "SELECT query, response FROM (SELECT concat('q', vec_id % 60) AS query, max(vec_id) AS seq, arg_max(element, vec_id) AS response FROM vset GROUP BY 1) ORDER BY seq DESC, query LIMIT 45")
+def semantic_cache_set(t):
+    log = t.vset.select(F.concat(F.lit("q"), F.col("vec_id") % 60).alias("query"), F.col("vec_id").alias("seq"), "embedding", F.col("element").alias("response"))
+    return A.cache_set(log, 45).select("query", "response")
+
+
+@query("semantic_cache_explain", f"SELECT query, element, score, score >= 0.3 AS hit FROM (SELECT q.element AS query, k.element, round(list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.element ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]), 12), k.element) AS n FROM vset q JOIN vset k ON q.{EVERY} AND k.{EVERY.replace('=', '<>')}) WHERE n = 1")
+def semantic_cache_explain(t):
+    """Every 20th vector against the others."""
+    queries = t.vset.filter(EVERY).select(F.col("element").alias("query"), "embedding")
+    return A.explained(t.vset.filter(EVERY.replace("=", "<>")), queries, 0.3).withColumn("score", F.round("score", 6))
+
+
 @query("v_fetch", "SELECT vec_id AS token, round(embedding[1]::DOUBLE, 6) AS v1 FROM vset WHERE vec_id BETWEEN 10 AND 19")
 def v_fetch(t):
     return stored(t, 10, 20).select("token", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("v1"))
 
 
-@query("v_storebatch")
+#: In SQL, int8 over the mean and 8 standard deviations on either side.
+INT8 = "m AS (SELECT element, vec_id, embedding::DOUBLE[] AS x, list_avg(embedding::DOUBLE[]) AS mean FROM vset), d AS (SELECT *, sqrt(list_sum(list_transform(x, lambda v: (v - mean) * (v - mean))) / len(x)) AS dev FROM m), q AS (SELECT element, vec_id, list_transform(x, lambda v: CASE WHEN dev > 0 THEN greatest(-127.0::DOUBLE, least(127.0::DOUBLE, round((v - (mean - 8 * dev)) / (16 * dev) * 254 - 127))) ELSE 0.0 END)::TINYINT[] AS q FROM d)"
+
+
+@query("v_storebatch", f"WITH {INT8} SELECT vec_id AS token, array_to_string(q, ',') AS payload FROM q")
 def v_storebatch(t):
-    return t.vset.select(F.col("vec_id").alias("token"), V.quantise_int8("embedding").alias("payload"))
+    return t.vset.select(F.col("vec_id").alias("token"), F.array_join(V.quantise_int8("embedding").cast("array<string>"), ",").alias("payload"))
 
 
 @query("v_snapshot", "SELECT label AS layer, count(*) AS length FROM vset GROUP BY label")

@@ -108,7 +108,7 @@ for _name, _from, _to in (("lmove", False, True), ("blmove", False, False), ("rp
         return L.move(t.kv_list, "conv:1", "conv:2", _from, _to)
 
 
-@query("list_fold")
+@query("list_fold", "WITH RECURSIVE l AS (SELECT concat('conv:', conv_id) AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text FROM conversations), f AS (SELECT key, n, CASE WHEN role = 'assistant' THEN []::VARCHAR[] ELSE [text] END AS v FROM l WHERE n = 1 UNION ALL SELECT f.key, l.n, CASE WHEN role = 'assistant' THEN v[2:] ELSE list_append(v, text) END FROM f JOIN l ON l.key = f.key AND l.n = f.n + 1), z AS (SELECT key, arg_max(v, n) AS v FROM f GROUP BY key) SELECT key, unnest(range(len(v)))::BIGINT AS idx, unnest(v) AS value FROM z")
 def list_fold(t):
     """A log of pushes and pops: user turns are pushed, every assistant turn pops from the left."""
     op = F.when(F.col("role") == "assistant", "lpop").otherwise("rpush")

@@ -18,7 +18,7 @@ VIEWS: dict[str, list[tuple[str, str]]] = {
     "kv_list": [("conversations", "concat('conv:', conv_id) AS key, turn AS pos, text AS value")],
     "kv_set": [("orders", "DISTINCT o_orderpriority AS key, concat('c', o_custkey) AS member")],
     "kv_zset": [("customer", "c_mktsegment AS key, concat('c', c_custkey) AS member, c_acctbal AS score")],
-    "kv_bits": [("events", "DISTINCT event_type AS key, user_id AS pos")],
+    "kv_bits": [("events", "DISTINCT event_type AS key, user_id * 16 + event_id % 16 AS pos")],
     "kv_geo": [("customer", "c_mktsegment AS key, concat('c', c_custkey) AS member, (c_custkey * 37) % 360 - 180.0 AS lon, (c_custkey * 17) % 170 - 85.0 AS lat")],
     "vset": [("embeddings", "concat('v', vec_id) AS element, vec_id, embedding, label")],
     "docs": [("documents", "doc_id, text, lang")],
@@ -26,6 +26,9 @@ VIEWS: dict[str, list[tuple[str, str]]] = {
 #: The moment that reads with a lifetime take as now, in milliseconds.
 NOW_MS = 3_000_000
 
+#: Views of the rows of others that have not expired: view, condition.
+LIVE_VIEWS = {"kv_live": ("kv_string", f"expire_ms IS NULL OR expire_ms > {NOW_MS}")}
+
 #: The whole query set of a search: every row whose id is divisible by 20.
 EVERY = "vec_id % 20 = 0"
 
@@ -45,6 +48,8 @@ class Tables:
             raise AttributeError(name)
         if name in VIEWS:
             return self.view(name)
+        if name in LIVE_VIEWS:
+            return self.view(LIVE_VIEWS[name][0]).filter(LIVE_VIEWS[name][1])
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
@@ -57,7 +62,10 @@ class Tables:
 
 def with_views(sql: str) -> str:
     """``sql`` after the definitions of the keyed views that it names."""
-    used = [f"{n} AS ({' UNION ALL '.join(f'SELECT {what} FROM {table}' for table, what in parts)})" for n, parts in VIEWS.items() if n in sql]
+    live = {n: of for n, of in LIVE_VIEWS.items() if n in sql}
+    needed = {of for of, _ in live.values()}
+    used = [f"{n} AS ({' UNION ALL '.join(f'SELECT {what} FROM {table}' for table, what in parts)})" for n, parts in VIEWS.items() if n in sql or n in needed]
+    used += [f"{n} AS (SELECT * FROM {of} WHERE {condition})" for n, (of, condition) in live.items()]
     if not used:
         return sql
     body = sql.strip()

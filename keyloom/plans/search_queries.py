@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyloom.operators import hashes as H
 from keyloom.operators import search as S
 from keyloom.operators import vectors as V
-from keyloom.plans.registry import query
+from keyloom.plans.registry import NOW_MS, query
 
 TERMS = "thened wh reing"
 TOK = r"""tk AS (SELECT doc_id, list_filter(list_transform(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x20"''`()\[\]{}<>|\\,;:!?]+'), lambda x: regexp_replace(x, '^[-._+=*/&%@#~$^]+|[-._+=*/&%@#~$^]+$', '', 'g')), lambda x: x <> '') AS t FROM docs)"""
@@ -82,9 +83,64 @@ def ft_search_tags(t):
     return t.customer.filter(S.tag_match(tags, ["Building", "machinery"], ";")).select(F.col("c_custkey").alias("doc_id"))
 
 
-@query("ft_create", "SELECT DISTINCT key FROM kv_hash WHERE key LIKE 'cust:1%'")
+CUSTOMERS = S.Index("customers", ("cust:1", "cust:2"), {"name": "TEXT", "segment": "TAG", "nation": "NUMERIC", "missing": "NUMERIC"})
+_INDEX = f"i AS (SELECT key, max(CASE WHEN field = 'name' THEN value END) AS name, max(CASE WHEN field = 'segment' THEN value END) AS segment, max(CASE WHEN field = 'nation' THEN value END)::DOUBLE AS nation FROM kv_hash WHERE (key LIKE 'cust:1%' OR key LIKE 'cust:2%') AND (field_expire_ms IS NULL OR field_expire_ms > {NOW_MS}) GROUP BY key)"
+
+
+def hashes(t):
+    return H.live(t.kv_hash, NOW_MS)
+
+
+@query("ft_create", f"WITH {_INDEX} SELECT key, name, segment, nation, NULL::DOUBLE AS missing FROM i")
 def ft_create(t):
-    return t.kv_hash.filter(F.startswith("key", F.lit("cust:1"))).select("key").distinct()
+    """The rows of a new index over what is stored already."""
+    return S.Catalog().create(CUSTOMERS).rows(hashes(t))
+
+
+@query("ft_index_info", f"WITH {_INDEX} SELECT count(*) AS docs, count(name) AS name, count(segment) AS segment, count(nation) AS nation, 0 AS missing FROM i")
+def ft_index_info(t):
+    return CUSTOMERS.info(hashes(t))
+
+
+@query("ft_dropindex", f"SELECT key, field, value FROM kv_hash WHERE field_expire_ms IS NULL OR field_expire_ms > {NOW_MS}")
+def ft_dropindex(t):
+    held = S.Catalog()
+    held.create(CUSTOMERS)
+    return held.drop("customers", hashes(t)).select("key", "field", "value")
+
+
+@query("ft_dropindex_dd", f"SELECT key, field, value FROM kv_hash WHERE (field_expire_ms IS NULL OR field_expire_ms > {NOW_MS}) AND key NOT LIKE 'cust:1%' AND key NOT LIKE 'cust:2%'")
+def ft_dropindex_dd(t):
+    held = S.Catalog()
+    held.create(CUSTOMERS)
+    return held.drop("customers", hashes(t), documents=True).select("key", "field", "value")
+
+
+@query("ft_list", "SELECT * FROM (VALUES ('a'), ('customers')) AS v(name)")
+def ft_list(t):
+    held = S.Catalog()
+    for index in (CUSTOMERS, S.Index("b", (), {"x": "TAG"}), S.Index("a", (), {"x": "TAG"})):
+        held.create(index)
+    held.drop("b", hashes(t))
+    return t.spark.createDataFrame([(n,) for n in held.list()], "name string")
+
+
+_PAGE = f"WITH {_INDEX} SELECT {{}} FROM i WHERE segment = 'BUILDING' AND nation BETWEEN 3 AND 20 ORDER BY nation DESC, key LIMIT 12 OFFSET 4"
+
+
+def page(t, fields):
+    rows = CUSTOMERS.rows(hashes(t)).filter(S.filter_clause("@segment:{building} @nation:[3 20]", {"segment"}))
+    return S.page(rows, [F.col("nation").desc()], 4, 12, fields)
+
+
+@query("ft_search_return", _PAGE.format("key, name, nation"))
+def ft_search_return(t):
+    return page(t, ["name", "nation"])
+
+
+@query("ft_search_nocontent", _PAGE.format("key"))
+def ft_search_nocontent(t):
+    return page(t, [])
 
 
 @query("ft_optimize", f"WITH {TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest(t) AS term FROM tk) GROUP BY term")

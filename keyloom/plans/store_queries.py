@@ -27,13 +27,18 @@ def v_export(t):
     return S.export(rows, "s", 64).select("name", "tokens")
 
 
-for _bits in (8, 4, 3, 2):
+#: In SQL, each number over its block's scale; whole numbers for 8 to 2 bits, 3 bits of fraction for fp8.
+_PARTS = "x AS (SELECT vec_id, unnest(range(64)) // 32 AS b, unnest(embedding)::DOUBLE AS x FROM vset), s AS (SELECT *, max(abs(x)) OVER (PARTITION BY vec_id, b) AS top FROM x)"
+_WHOLE = "greatest(-{0}, least({0}, round_even(x / (top / {0}), 0))) * (top / {0})"
+_FP8 = "round_even(x / (top / 448) / exp2(greatest(floor(log2(greatest(abs(x / (top / 448)), 1e-30))), -6) - 3), 0) * exp2(greatest(floor(log2(greatest(abs(x / (top / 448)), 1e-30))), -6) - 3) * (top / 448)"
 
-    @query(f"quantise_blocks_{_bits}")
+for _bits, _sql in ((8, _WHOLE.format("127.0::DOUBLE")), (4, _WHOLE.format("7.0::DOUBLE")), (3, _WHOLE.format("3.0::DOUBLE")), (2, _WHOLE.format("1.0::DOUBLE")), ("fp8", _FP8.replace("exp2(", "pow(2.0::DOUBLE, "))):
+
+    @query(f"quantise_blocks_{_bits}", f"WITH {_PARTS} SELECT round(sqrt(avg(pow(x - CASE WHEN top > 0 THEN {_sql} ELSE 0 END, 2))), 5) AS error FROM s")
     def _quantise(t, _bits=_bits):
         """The root mean square error of a block format over all stored vectors."""
         rows = S.quantised(t.vset, _bits).select(F.explode(F.zip_with("embedding", "restored", lambda a, b: (a - b) * (a - b))).alias("e"))
-        return rows.agg(F.sqrt(F.avg("e")).alias("error"))
+        return rows.agg(F.round(F.sqrt(F.avg("e")), 5).alias("error"))
 
 
 @query("command_log_compact", "WITH l AS (SELECT o_custkey AS key, o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN 'SET' ELSE 'APPEND' END AS cmd FROM orders), x AS (SELECT key, max(seq) AS last FROM l WHERE cmd = 'SET' GROUP BY key) SELECT l.key, seq, cmd FROM l LEFT JOIN x ON l.key = x.key WHERE last IS NULL OR seq >= last")
