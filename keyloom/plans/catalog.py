@@ -9,11 +9,9 @@ OUT_OF_SCOPE = (
 HOOKS = "AI.CHAT AI.COMPLETE AI.FLARE AI.EMBED AI.GENERATE AI.LOADMODEL".split()
 #: Refused on purpose.
 REFUSED = {"VLINKS": "there is no graph to show", "SORT BY": "patterns and GET", "VSIM FILTER": "filter the rows first", "FT.SEARCH OR": "alternatives and negation"}
-#: Surveyed, but not built. Names that are registered give another query over the last blob of each session in place of it.
+#: Surveyed, but not built.
 NOT_BUILT = {
-    "ATTEND.STORE": "K/V rows per token; attend_store is the query of kv_store", "ATTEND.PREFIX.STORE": "K/V rows per token; attend_prefix_store is the query of kv_store",
-    "KV.STORE": "tensors; kv_store keeps a string per session and layer", "SSM.PREFIX.STORE": "tensors; ssm_prefix_store is the query of kv_store",
-    "ATTEND.CREATE": "counts blobs", "V.CREATE": "counts blobs", "STATE.ALLOC": "counts blobs, no buffer", "KV.PREFIX.REGISTER": "counts blobs",
-    "ATTEND.INFO": "sizes of blobs", "V.INFO": "sizes of blobs", "STATE.INFO": "sizes of blobs", "KV.INFO": "sizes of blobs", "KV.PREFIX.INFO": "sizes of blobs",
-    "AI.MEMORY RECALL": "only CONTEXT is built", "BLOCK FP8": "blocks have 8, 4, 3 and 2 bits",
+    "TIME": "the clock of the session, no rows", "SAVE, BGSAVE, LASTSAVE, KV.PREFIX.SAVE, KV.PREFIX.COMMIT": "sources.tables.commit, versions and last_save, without queries",
+    "LAYER.STORE, LAYER.FETCH, LAYER.BATCH, LAYER.EXTEND": "framed commands of a binary connection", "INFO": "of a server; info_keyspace has the keys",
+    "VSIM over a graph": "ann_search is an inverted file", "delta merge": "an index is a view, so there is nothing to merge",
 }

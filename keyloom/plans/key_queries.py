@@ -154,6 +154,12 @@ def restore(t):
     return dump(t).select(F.concat(F.lit("copy:"), parsed["key"]).alias("key"), parsed["value"].alias("value"), F.lit(NOW_MS + 5000).cast("long").alias("expire_ms"))
 
 
+@query("info_keyspace", f"SELECT count(*) AS keys, count(expire_ms) AS expires, round(avg(expire_ms - {NOW_MS}), 3) AS avg_ttl FROM {SHOWN}")
+def info_keyspace(t):
+    left = (F.col("expire_ms") - NOW_MS).cast("double")
+    return live(t).agg(F.count(F.lit(1)).alias("keys"), F.count("expire_ms").alias("expires"), F.round(F.avg(left), 3).alias("avg_ttl"))
+
+
 @query("memory_usage", "SELECT sum(strlen(key) + strlen(value))::BIGINT AS bytes FROM kv_string")
 def memory_usage(t):
     return t.kv_string.agg(F.sum(F.octet_length("key") + F.octet_length("value")).cast("long").alias("bytes"))

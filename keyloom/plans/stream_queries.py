@@ -206,10 +206,10 @@ def xtrim_acked(t):
     return X.trimmed(entries(t), maxlen=20, strategy="ACKED", groups=references(t)[0], pending=references(t)[1])[0].select("key", "ms", "seq", "event_id")
 
 
-@query("xtrim_delref", f"WITH {P} SELECT {_PEL} FROM p WHERE ms >= 1704700000000")
+@query("xtrim_delref", f"WITH {P} SELECT {_PEL} FROM p WHERE ms >= 1704300000000")
 def xtrim_delref(t):
     """The pending list after entries before an id have gone with their references."""
-    return X.trimmed(entries(t), minid="1704700000000", strategy="DELREF", pending=pending(t))[1].select("key", "ms", "seq", "consumer", "time_ms", "deliveries")
+    return X.trimmed(entries(t), minid="1704300000000", strategy="DELREF", pending=pending(t))[1].select("key", "ms", "seq", "consumer", "time_ms", "deliveries")
 
 
 @query("xinfo_groups", f"WITH {P}, {_REFS}, s AS (SELECT key, \"group\", count(DISTINCT consumer) AS consumers, count(*) AS pending FROM pe GROUP BY ALL) SELECT rg.key, rg.\"group\", coalesce(consumers, 0) AS consumers, coalesce(pending, 0) AS pending, (top // 100000)::DECIMAL(20,0) AS last_ms, (top % 100000)::DECIMAL(20,0) AS last_seq, (SELECT count(*) FROM e WHERE e.key = rg.key AND e.ms * 100000 + e.seq > top) AS lag FROM rg LEFT JOIN s ON s.key = rg.key AND s.\"group\" = rg.\"group\"")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from keyloom.functions import scripts
 from keyloom.functions.ranges import glob_regex, lex_between
-from keyloom.operators import attention, bitmaps, geo, keys, lists, search, streams, strings, zsets
+from keyloom.operators import attention, bitmaps, geo, hashes, keys, lists, search, streams, strings, transactions, vectors, zsets
 from keyloom.sources import tables
 from keyloom.streaming import groups
 
@@ -175,7 +177,181 @@ def test_searches_go_on_past_one_block_of_queries(spark, monkeypatch):
     assert V.nearest(rows, queries.limit(0), 3).count() == 0
 
 
-def test_catalog_lists_what_is_not_built():
-    from keyloom.plans import catalog
+def test_catalog_lists_nothing_that_is_registered():
+    from keyloom import plans
+    from keyloom.plans import catalog, registry
 
-    assert {"ATTEND.STORE", "ATTEND.PREFIX.STORE", "KV.STORE", "V.CREATE", "STATE.ALLOC", "AI.MEMORY RECALL", "BLOCK FP8"} <= set(catalog.NOT_BUILT)
+    plans.load()
+    names = {n.strip().lower().replace(".", "_") for k in catalog.NOT_BUILT for n in k.split(",")}
+    assert not names & registry.QUERIES.keys()
+
+
+def test_nx_passes_over_a_nan_for_a_member_that_is_there(spark):
+    z = spark.createDataFrame([("k", "a", 1.0)], "key string, member string, score double")
+    nan = spark.createDataFrame([("k", "a", math.nan)], "key string, member string, score double")
+    assert [(r.score, r.changed) for r in zsets.add(z, nan, only_new=True).collect()] == [(1.0, 0)]
+    other = nan.withColumn("member", F.lit("b"))
+    assert [(r.member, r.score) for r in zsets.add(z, other, only_old=True).collect()] == [("a", 1.0)]
+    with pytest.raises(Exception, match="not a number"):
+        zsets.add(z, nan, only_old=True).collect()
+    with pytest.raises(Exception, match="not a number"):
+        zsets.add(z, other, only_new=True).collect()
+
+
+def test_expired_fields_show_nowhere(spark):
+    rows = [("k", "gone", "1", 10), ("k", "now", "2", 20), ("k", "later", "3", 30), ("k", "always", "4", None), ("x", "gone", "5", 1)]
+    h = hashes.live(spark.createDataFrame(rows, "key string, field string, value string, field_expire_ms long"), 20)
+    assert {r.key: r.fields for r in hashes.as_map(h).collect()} == {"k": {"always": "4", "later": "3"}}
+    by = spark.createDataFrame([("k", "gone", 7), ("k", "later", 7)], "key string, field string, delta long")
+    assert {(r.field, r.value) for r in hashes.increase(h, by).collect()} == {("gone", 7), ("later", 10)}
+    new = spark.createDataFrame([("k", "gone", 1, "n"), ("k", "later", 1, "n")], "key string, field string, seq long, value string")
+    got = {r.field: (r.value, r.added) for r in hashes.upsert(h, new, only_new=True).collect()}
+    assert got == {"gone": ("n", 1), "later": ("3", 0), "always": ("4", 0)}
+    assert {r.gone for r in hashes.mget(h, ["gone"]).collect()} == {None}
+
+
+def test_geo_plans_stay_small(spark):
+    raw = spark.range(50).selectExpr("'k' AS key", "concat('m', id) AS member", "id - 28.0 AS lon", "id * 3.0 - 75 AS lat")
+    p = geo.stored(raw)
+    for df in (geo.within(p, 10.0, 40.0, 3000.0, "KM"), geo.within_box(p, 10.0, 40.0, 5000.0, 3000.0, "KM"), geo.around_members(p, p.select("key", "member"), 900.0, "KM")):
+        assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 50_000 and df.count() > 0
+    lon, lat = geo.decode(F.col("cell"))
+    assert all(abs(r.a - r.lon) < 1e-9 and abs(r.b - r.lat) < 1e-9 for r in p.select("lon", "lat", lon.alias("a"), lat.alias("b")).collect())
+
+
+def test_geohash_of_a_known_place(spark):
+    hash_ = geo.geohash(F.lit(13.361389), F.lit(38.115556)).alias("h")
+    assert spark.range(1).select(hash_).first().h == "sqc8b49rny0"
+
+
+@pytest.mark.parametrize("policy", ["allkeys-lru", "allkeys-lfu", "volatile-lru", "volatile-ttl", "allkeys-random"])
+@pytest.mark.parametrize("keep", [0, 1, 70, 133, 400])
+def test_evict_is_exact(spark, policy, keep):
+    rows = [(f"k{i}", None if i % 3 == 0 else i * 7 % 50, i * 31 % 97, i % 5) for i in range(200)]
+    got = {r.key for r in keys.evict(spark.createDataFrame(rows, "key string, expire_ms long, accessed long, hits long"), keep, policy).collect()}
+    md5 = lambda k: hashlib.md5(k.encode()).hexdigest()
+    worth = {"lru": lambda r: (-r[2], r[0]), "lfu": lambda r: (-r[3], r[0]), "ttl": lambda r: (r[1] is not None, -(r[1] or 0), r[0]), "random": lambda r: (md5(r[0]),)}[policy.split("-")[1]]
+    order = sorted(rows, key=lambda r: ((r[1] is not None) if policy.startswith("volatile") else 0, worth(r)))
+    assert got == {r[0] for r in order[:keep]}
+
+
+def test_bitop_not_of_a_long_string(spark, monkeypatch):
+    monkeypatch.setattr(bitmaps, "BLOCK", 16)
+    bits = spark.createDataFrame([("k", p) for p in (0, 15, 16, 77)], "key string, pos long")
+    assert {r.pos for r in bitmaps.invert(bits, "k").collect()} == set(range(80)) - {0, 15, 16, 77}
+
+
+def test_nearest_keeps_a_running_top(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CHUNK", 7)
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (90, 2)).astype(float)  # many ties
+    rows = spark.createDataFrame([(f"e{i:02d}", v.tolist()) for i, v in enumerate(x)], "element string, embedding array<double>").coalesce(1)
+    queries = rows.limit(3).withColumnRenamed("element", "query")
+    for k in (1, 5, 200):
+        got = {}
+        for r in vectors.nearest(rows, queries, k, "l2").orderBy("rank").collect():
+            got.setdefault(r.query, []).append(r.element)
+        for q in range(3):
+            d = ((x - x[q]) ** 2).sum(1)
+            assert got[f"e{q:02d}"] == [f"e{i:02d}" for i in sorted(range(90), key=lambda i: (d[i], i))[:k]]
+
+
+def test_inverted_file_of_grouped_vectors_needs_few_cells(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(0, 10, (20, 8))
+    x = centers[rng.integers(0, 20, 600)] + rng.normal(0, 0.3, (600, 8))
+    rows = spark.createDataFrame([(f"e{i}", v.tolist()) for i, v in enumerate(x)], "element string, embedding array<double>")
+    index = vectors.InvertedFile.fit(rows)
+    assert index.probes < len(index.centroids) / 2
+    queries = rows.limit(30).withColumnRenamed("element", "query")
+    pairs = lambda df: {(r.query, r.element) for r in df.collect()}
+    exact = pairs(vectors.nearest(rows, queries, 10, "l2"))
+    assert len(exact & pairs(index.search(rows, queries, 10))) >= 0.95 * len(exact)
+
+
+def test_libraries_of_functions(spark):
+    held = scripts.Libraries(spark)
+    held.load("a", [scripts.Function("kl_plus", "x INT", "INT", "x + 1", True), scripts.Function("kl_minus", "x INT", "INT", "x - 1")])
+    df = spark.range(1).selectExpr("CAST(5 AS INT) AS x")
+    assert df.select(held.call("kl_plus", "x", reads_only=True).alias("v")).first().v == 6
+    assert df.select(held.call("kl_minus", "x").alias("v")).first().v == 4
+    with pytest.raises(ValueError, match="may write"):
+        held.call("kl_minus", "x", reads_only=True)
+    with pytest.raises(ValueError, match="already"):
+        held.load("a", [])
+    with pytest.raises(ValueError, match="already"):
+        held.load("b", [scripts.Function("kl_plus", "x INT", "INT", "x")])
+    dumped = held.dump()
+    with pytest.raises(ValueError, match="already"):
+        held.restore(dumped)
+    held.load("a", [scripts.Function("kl_plus", "x INT", "INT", "x + 100")], replace=True)
+    assert df.select(held.call("kl_plus", "x").alias("v")).first().v == 105
+    held.restore(dumped, "flush")
+    assert df.select(held.call("kl_plus", "x").alias("v")).first().v == 6
+    held.delete("a")
+    with pytest.raises(KeyError):
+        held.call("kl_plus", "x")
+    cache = scripts.Scripts()
+    with pytest.raises(KeyError, match="NOSCRIPT"):
+        cache.evalsha("0" * 40)
+    assert df.select(cache.evalsha(cache.load("x * 2")).alias("v")).first().v == 10
+
+
+def test_index_catalog(spark):
+    held = search.Catalog()
+    index = held.create(search.Index("i", ("a:",), {"n": "NUMERIC", "v": "VECTOR"}))
+    h = spark.createDataFrame([("a:1", "n", "2.5"), ("a:1", "v", "[1, 2]"), ("a:2", "n", "x"), ("b:1", "n", "1")], "key string, field string, value string")
+    assert {r.key: (r.n, r.v) for r in index.rows(h).collect()} == {"a:1": (2.5, [1.0, 2.0]), "a:2": (None, None)}
+    with pytest.raises(ValueError, match="exists"):
+        held.create(index)
+    with pytest.raises(ValueError, match="types"):
+        search.Index("j", (), {"n": "GEO"})
+    assert {r.key for r in held.drop("i", h, documents=True).collect()} == {"b:1"} and held.list() == []
+    with pytest.raises(KeyError):
+        held.drop("i", h)
+
+
+def test_a_version_counts_from_its_marker_on(spark, tmp_path):
+    path = str(tmp_path / "store")
+    table = spark.createDataFrame([("k", bytearray(b"1"), None)], tables.SCHEMAS["kv_string"])
+    assert tables.versions(spark, path) == [] and tables.last_save(spark, path) == 0
+    with pytest.raises(FileNotFoundError):
+        tables.current(spark, path, ["kv_string"])
+    first = tables.commit({"kv_string": table}, path)
+    tables.save({"kv_string": table.limit(0)}, f"{path}/v99999999999999999999-dead")  # a writer that died
+    assert tables.versions(spark, path) == [first]
+    second = tables.commit({"kv_string": table.unionAll(table)}, path, buckets=2)
+    assert tables.current(spark, path, ["kv_string"])["kv_string"].count() == 2 and tables.last_save(spark, path) > 0
+    tables.discard_old(spark, path)
+    assert tables.versions(spark, path) == [second]
+
+
+def test_aborted_batches(spark):
+    c = spark.createDataFrame([(1, 1, True), (2, 2, False), (2, 3, True), (3, 4, True), (4, 5, True)], "batch long, seq long, ok boolean")
+    watches = spark.createDataFrame([(1, "a", 1), (3, "a", 2), (2, "a", 2), (4, "new", 0)], "batch long, key string, seen int")
+    versions = spark.createDataFrame([("a", 1)], "key string, version int")
+    assert {(r.batch, r.reason) for r in transactions.aborted(c, watches, versions).collect()} == {(2, "execabort"), (3, "nil")}
+    assert {r.seq for r in transactions.executed(c, watches, versions).collect()} == {1, 5}
+    assert {r.seq for r in transactions.executed(c).collect()} == {1, 4, 5}
+
+
+def test_reads_of_groups_hand_out_every_entry_once(spark):
+    entries = spark.createDataFrame([("s", k, 0) for k in range(1, 21)], "key string, ms long, seq long")
+    reads = spark.createDataFrame([("s", 1, "a", 5, 10), ("s", 2, "b", 0, 20), ("s", 3, "c", 1_000_000_000, 30)], "key string, turn long, consumer string, count long, time_ms long")
+    got = {r.ms: (r.consumer, r.time_ms) for r in streams.deliver(entries, reads).collect()}
+    assert got == {k: ("a", 10) if k <= 5 else ("c", 30) for k in range(1, 21)}
+
+
+def test_trim_options(spark):
+    ids = lambda df, *names: df.withColumns({c: F.col(c).cast("decimal(20,0)") for c in names})
+    entries = ids(spark.createDataFrame([("s", k, 0) for k in range(1, 11)], "key string, ms long, seq long"), "ms", "seq")
+    groups_ = ids(spark.createDataFrame([("s", "g", 6, 0)], "key string, `group` string, last_ms long, last_seq long"), "last_ms", "last_seq")
+    pending = ids(spark.createDataFrame([("s", "g", k, 0, "c", 0, 1) for k in (2, 5)], "key string, `group` string, ms long, seq long, consumer string, time_ms long, deliveries long"), "ms", "seq")
+    left = lambda **kw: [int(r.ms) for r in streams.trimmed(entries, **kw)[0].orderBy("ms").collect()]
+    assert left(maxlen=3) == [8, 9, 10] and left(maxlen=0) == [] and left(maxlen=99) == list(range(1, 11))
+    assert left(maxlen=3, approximate=True, limit=2) == list(range(3, 11))
+    assert left(maxlen=3, strategy="ACKED", groups=groups_, pending=pending) == [2, 5, 7, 8, 9, 10]
+    assert left(minid="5", strategy="ACKED", groups=groups_, pending=pending) == [2, 5, 6, 7, 8, 9, 10]
+    assert [int(r.ms) for r in streams.trimmed(entries, minid="4", strategy="DELREF", pending=pending)[1].collect()] == [5]
+    with pytest.raises(ValueError, match="LIMIT"):
+        streams.trimmed(entries, maxlen=3, limit=2)
