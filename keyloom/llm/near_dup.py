@@ -205,7 +205,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     placed, turn, largest, before = buckets.withColumn("component", F.col("doc_id")), 0, 0, 0
     while turn < ELECTIONS or (turn < MOST_ELECTIONS and largest > BOUND and 2 * largest <= before):
         center = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-        elected = placed.groupBy("bucket").agg(F.min(center).alias("c"))
+        # written, so that the join has shuffles of its own, whose large partitions can be split
+        elected = materialise(placed.groupBy("bucket").agg(F.min(center).alias("c")))
         met = placed.join(elected, "bucket").filter(F.col("component") != F.col("c.cx")).select(F.col("c.x").alias("x"), F.col("doc_id").alias("y")).distinct()
         near = met.join(side("x"), "x").join(side("y"), "y").filter(_likely("x", "y", similar)).select("x", "y", _agreement("sig_x", "sig_y").alias("agree"))
         met = near.groupBy("y").agg(F.max_by("x", F.struct("agree", "x")).alias("x"))
