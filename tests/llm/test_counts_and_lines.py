@@ -36,6 +36,21 @@ def test_mix_takes_what_the_targets_say(docs, nothing, rows):
     assert mixing.mix_report(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
 
+def test_rows_without_an_id_or_repeated_are_drawn_one_by_one(spark):
+    rows = [(None, f"w{k} w w w", "a") for k in range(250)] + [(7, "same text here now", "a")] * 250
+    rows += [(None, "same text again too", "b")] * 250 + [(k, f"only {k} x y", "c") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_report(docs).collect()
+    assert len(got) == len(rows)
+    for size, target in {(r.source_size, r.target) for r in got}:
+        parts = [sum(r.taken for r in got if r.source_size == size and r.target == target and (r.doc_id is None) == none) for none in (True, False)]
+        assert abs(sum(parts) - target) < 0.15 * target
+    assert sorted(map(str, mixing.mix_report(docs.repartition(7)).collect())) == sorted(map(str, got))
+    odd = docs.limit(3).selectExpr("*", "1 AS size", "2 AS `a.b`", "3 AS id", "4 AS digest", "5 AS k")
+    assert set(mixing.mix(odd).columns) == {*odd.columns, "copy_no"}
+    mixing.mix(odd).collect()
+
+
 @pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 1, 1000], [5, 0, 5], [0, 0], [1000, 1, 1, 1], [7]])
 def test_targets_fill_up_like_water(spark, sizes):
     names = [f"s{k}" for k in range(len(sizes))]
@@ -182,9 +197,30 @@ def test_quality_counts(docs, nothing, rows):
 
 
 def test_repeated_words_of_very_long_texts(docs, monkeypatch):
-    wanted = sorted(tuple(r) for r in quality_rules.measures(docs).select("doc_id", "n_repeat_words").collect())
+    counts = lambda: sorted(tuple(r) for r in quality_rules.measures(docs, quality_rules.vocabulary(docs)).select("doc_id", "n_repeat_words").collect())
+    wanted = counts()
     monkeypatch.setattr(quality_rules, "PACKED_POSITIONS", 0)
-    assert sorted(tuple(r) for r in quality_rules.measures(docs).select("doc_id", "n_repeat_words").collect()) == wanted
+    assert counts() == wanted
+
+
+def test_references_are_learned_per_language(spark):
+    rng = np.random.default_rng(6)
+    voc = {"xx": [f"ba{k}" for k in range(400)], "yy": [f"zu{k}" for k in range(400)]}
+    common = {"xx": ["ka", "ko", "ki", "ku"], "yy": ["sa", "so", "si", "su"]}
+
+    def text(lang, n=200):
+        return " ".join(str(x) for x in np.where(rng.random(n) < 0.3, rng.choice(common[lang], n), rng.choice(voc[lang], n)))
+
+    rows = [(k, text(lang), lang) for k, lang in enumerate(["xx", "yy"] * 70)] + [(200, text("xx"), "rare"), (201, text("xx"), None), (202, None, "xx")]
+    rows += [(300, text("yy"), "xx"), (301, text("yy", 60), "xx"), (302, " ".join(voc["xx"][:200]), "xx")]  # another language, too short to tell, no common words
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {r.lang: (set(r.words), sum(r.common_ref)) for r in quality_rules.vocabulary(docs).collect()}
+    assert set(learned) == {"xx", "yy", None} and set(common["xx"]) <= learned["xx"][0] and not set(common["yy"]) & learned["xx"][0]
+    assert all(abs(total - 1) < 1e-9 for _, total in learned.values())
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert len(got) == len(rows) and sum(got[k].kept for k in range(140)) >= 138
+    assert not got[300].kept and not got[302].kept and not got[202].kept
+    assert got[301].kept and got[301].word_distance > 0.4  # under the minimum length the distance doesn't count
 
 
 def test_sha_is_of_utf8():

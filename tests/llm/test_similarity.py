@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -48,6 +50,55 @@ def test_classes(docs, nothing, rows):
     assert near_dup.classes(nothing).count() == 0
 
 
+def test_more_elections_change_nothing(docs, rows, monkeypatch):
+    monkeypatch.setattr(near_dup, "BOUND", 0)
+    monkeypatch.setattr(near_dup, "MOST_ELECTIONS", 4)
+    assert {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()} == brute_classes(rows)
+
+
+def exact_links(texts):
+    """All pairs of different texts at a Jaccard similarity of 0.8 or more, by counting shared shingles."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    held, shared = defaultdict(list), Counter()
+    for i, s in sets.items():
+        for x in s:
+            held[x].append(i)
+    for ids in held.values():
+        shared.update(itertools.combinations(ids, 2))
+    return {p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n) - 1e-9}
+
+
+def test_recall_against_exact_similarities(spark):
+    """On the whole table of sf0.01 no link between different texts is lost, and classes are as brute force gives them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    links = exact_links(texts)
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in links)
+    assert len(links) > 50 and found >= 0.95 * len(links)
+    up = {i: i for i in texts}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    same = defaultdict(list)
+    for i, t in texts.items():
+        same[t].append(i)
+    for a, b in [*links, *((ids[0], b) for ids in same.values() for b in ids[1:])]:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    assert got == {i: root(i) for i in texts}
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    rows = [(1, "same", 1, 2, 3, 4, 5), (2, "same", 6, 7, 8, 9, 10), (None, "own", 11, 12, 13, 14, 15)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, id long, `row` long, `__id` long, digest long, `a.b` long")
+    got = near_dup.keep_one(odd)
+    assert got.columns == odd.columns and {(r["a.b"], r["row"]) for r in got.collect()} == {(5, 2), (15, 12)}
+
+
 def test_null_ids_stay_alone(spark):
     df = spark.createDataFrame([(None, "same"), (1, "same"), (2, "same"), (None, "x")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.class_id or 0) for r in near_dup.classes(df).collect())
@@ -133,6 +184,28 @@ def test_decontaminate_sees_capitals_punctuation_and_short_items(spark):
     assert decontam.decontaminate(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_a_very_long_item_is_sent_once(spark, monkeypatch):
+    """What is sent grows with the items, not with their squares; an item of 50,000 words is found in a longer text."""
+    item = [f"w{k * 7919 % 50_021}" for k in range(50_000)]
+    texts = ["before " + " ".join(item) + " after", " ".join(item[:39_000]), " ".join(item[5000:]), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(item[100:130]))], "item_id long, text string")
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(decontam.F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(0, 0), (0, 1), (1, 1), (2, 0)}
+    wide = [df for df in sent if "item_shingles" in df.columns]
+    assert sum(df.count() for df in wide) == 2  # each item once
+    assert all(kind == "bigint" for df in sent if df not in wide for _, kind in df.dtypes)
+
+
+def test_decontaminate_keeps_columns_of_any_name(spark):
+    odd = spark.createDataFrame([(1, "one two three four five six", 1, 2), (2, None, 3, 4), (None, "x", 5, 6)], "doc_id long, text string, leaked long, `a.b` long")
+    bench = spark.createDataFrame([(1, "two three four five six")], "item_id long, text string")
+    got = decontam.decontaminate(odd, bench)
+    assert got.columns == odd.columns and sorted(r["a.b"] for r in got.collect()) == [4, 6]
+
+
 def test_leaks_in_blocks(spark, docs, rows, monkeypatch):
     bench = spark.createDataFrame([(k, " ".join(WORD.findall(rows[8][1])[k * 20 : k * 20 + 20])) for k in range(6)], "item_id long, text string")
     whole = sorted(map(tuple, decontam.leaks(docs, bench).collect()))
