@@ -15,7 +15,9 @@ joined with written tables, whose large partitions Spark can split.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,27 +158,35 @@ def split_words(text: str) -> list[str]:
     return [w for w in words if w]
 
 
+def runs(starts: list[int] | None, n: int) -> list[tuple[int, int]]:
+    """The stretches (first word, end) of a segment of ``n`` words that its recurring windows cover without a gap between
+    their starts; all of it where all windows recur."""
+    if starts is None:
+        return [(0, n)]
+    out, first = [], starts[0]
+    for a, b in zip(starts, [*starts[1:], -1], strict=True):
+        if b != a + 1:
+            out.append((first, a + WINDOW))
+            first = b
+    return out
+
+
 def clean_block(texts: list[str], passages: list[tuple[int, int, int, list[int] | None]]) -> list[tuple[int, int, str]]:
     """n_words, n_removed and the kept words of every text of a block.
 
     A passage is a place: a text, its first word, its number of words, and the starts of its recurring windows (all of it
-    recurs where there are none). The automata's alphabet are the words of the passages; other words are all alike.
+    recurs where there are none). Every segment of the block that holds recurring windows is among the passages, by one of
+    its places at least, so its unbroken runs of such windows are patterns enough: each is found wherever it stands.
     """
     words = [split_words(t) for t in texts]
     if not passages:
         return [(len(w), 0, " ".join(w)) for w in words]
-    number: dict[str, int] = {}
-    patterns: dict[tuple[int, ...], None] = {}
-    for of, start, n, starts in passages:
-        ids = tuple([number.setdefault(w, len(number) + 1) for w in words[of][start : start + n]])
-        if starts is None:
-            patterns[ids] = None
-        else:
-            patterns.update((ids[k : k + WINDOW], None) for k in starts)
-    get = number.get
+    number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+    ids = [tuple(map(number.__getitem__, w)) for w in words]
+    patterns = {ids[of][start + a : start + b]: None for of, start, n, starts in passages for a, b in runs(starts, n)}
     out = []
-    for w, gone in zip(words, locate(list(patterns), [tuple([get(x, 0) for x in w]) for w in words]), strict=True):
-        kept = [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
+    for w, gone in zip(words, locate(list(patterns), ids), strict=True):
+        kept = [x for x, g in zip(w, gone.tolist(), strict=True) if not g] if gone.any() else w
         out.append((len(w), len(w) - len(kept), " ".join(kept)))
     return out
 

@@ -164,8 +164,9 @@ def test_what_the_automata_locate_is_what_goes():
     texts = [" ".join(rng.choice(list("abcd"), 60)) for _ in range(3)]
     texts += [f"x {texts[0]} y", texts[1] + " z " + texts[1], "", "short"]
     # one place of a passage in the block is enough for all its occurrences; the third text is no passage
-    got = substring.clean_block(texts, [(0, 0, 60, None), (1, 2, 40, [0, 5])])
-    assert [r[1] for r in got] == [60, 40, 0, 60, 80, 0, 0]
+    got = substring.clean_block(texts, [(0, 0, 60, None), (1, 2, 41, [0, 1, 5, 6])])
+    assert [r[1] for r in got] == [60, 41, 0, 60, 82, 0, 0]
+    assert substring.runs([0, 1, 5, 6], 41) == [(0, 36), (5, 41)] and substring.runs([3], 50) == [(3, 38)] and substring.runs(None, 50) == [(0, 50)]
     assert got[3][2] == "x y" and got[2][2] == texts[2] and got[4][0] == 121
     assert substring.clean_block(texts, []) == [(len(t.split()), 0, t) for t in texts]
 
