@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from keyloom.llm.common import SPACES, byte_slices, fresh, held_out, small_batches, span_hashes, text_of, utf8_buffer, word_spans
+from keyloom.llm.common import SPACES, byte_slices, column, fresh, held_out, small_batches, span_hashes, text_of, utf8_buffer, word_spans
 from keyloom.llm.sampling import labelled
 
 #: The bound of the training sample: documents per label, and code points of a document.
@@ -162,17 +162,20 @@ def score(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs, labels))  # a few kilobytes
     small_batches(spark)
-    read = docs.withColumn("text", text_of())
-    fields = read.schema.fields
+    fields = [StructField("text", StringType()) if f.name.lower() == "text" else f for f in docs.schema.fields]
+    at = next(i for i, f in enumerate(fields) if f.name == "text")
+    others = [column(f.name) for i, f in enumerate(fields) if i != at]
+    read = docs.select(text_of().alias("text"), F.struct(F.lit(0).alias("none"), *others).alias("own"))
     names = [*[f.name for f in fields], name]
-    at = next(i for i, f in enumerate(fields) if f.name.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for whole in batches:
-            for b in byte_slices(whole, at):
-                s = np.full(b.num_rows, m) if isinstance(m, float) else m.forward(*passages(b.column(at)))[0]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s.astype(np.float64))], names)
+            for b in byte_slices(whole, "text"):
+                text = b.column("text")
+                s = np.full(b.num_rows, m) if isinstance(m, float) else m.forward(*passages(text))[0]
+                own = b.column("own").flatten()[1:]
+                yield pa.RecordBatch.from_arrays([*own[:at], text, *own[at:], pa.array(s.astype(np.float64))], names)
 
     return read.mapInArrow(run, StructType([*fields, StructField(name, DoubleType())]))
 

@@ -102,7 +102,7 @@ def test_recurrent_gradients():
         near[0][at] += 1e-4
         near[1][at] -= 1e-4
         up, down = (cross_entropy(m.run(m.project(z), mask)[0], y) for z in near)
-        assert abs((up - down) / 2e-4 - into[at]) < 1e-5
+        assert abs((up - down) / 2e-4 - into[at]) < 1e-4
 
 
 def test_embedding_gradients():
@@ -130,7 +130,7 @@ def test_embedding_gradients():
 
 
 def test_starts_leave_the_document_itself_out():
-    texts, y = pa.array(["only here", "only", "other", "other here"]), np.array([1, 1, 0, 0])
+    texts, y = pa.array(["only here", "only", "other", "other here", "none of it"]), np.array([1, 1, 0, 0, 0])
     hashes, doc, low, starts, ends = toxicity.tokens(texts)
     t = toxicity.Embeddings(y, hashes, doc, low, starts, ends)
     rows = t.rows(hashes, low, starts, ends)
