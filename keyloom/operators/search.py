@@ -19,10 +19,15 @@ EDGES = "-._+=*/&%@#~$^"
 
 
 def tokens(text: Column) -> Column:
-    """Tokens of a text: split at ENDS, EDGES cut off, ASCII letters lowered, empty ones dropped."""
+    """Tokens of a text: split at ENDS, EDGES cut off, ASCII letters lowered, empty ones dropped.
+
+    The edges of all tokens are cut off in one pass over the whole text: runs of EDGES with nothing but an end before or
+    after them.
+    """
     edge = "[" + re.escape(EDGES) + "]+"
-    parts = F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), f"[{ENDS}]+", -1)
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, f"^{edge}|{edge}$", "")), lambda x: x != "")
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    bare = F.regexp_replace(lowered, f"(?<![^{ENDS}]){edge}|{edge}(?![^{ENDS}])", "")
+    return F.array_remove(F.split(bare, f"[{ENDS}]+", -1), "")
 
 
 def postings(docs: DataFrame) -> DataFrame:
